@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.html_extract import extract_pages
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality_rules import quality_rules
+from corpusloom.llm.simhash import simhash_components
+from corpusloom.llm.substring_dedup import substring_digests
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -24,8 +30,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
     "op8_html_extract": op8_html_extract,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
