@@ -8,7 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import Scratch
+from corpusloom.llm.mixing import mix
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.quality_classifier import quality_filter
+from corpusloom.llm.simhash import near_dedup
+from corpusloom.llm.substring_dedup import substring_filter
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return near_dedup(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that an earlier document has; those left without a word go."""
+    return substring_filter(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of the domains want."""
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +41,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", substrings),
+    ("mixing", mixing),
     ("packing", packing),
 ]
 

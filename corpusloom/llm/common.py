@@ -63,3 +63,11 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def partitions_for(rows: int, each: int) -> int:
     """How many groups of about `each` rows; at least one."""
     return max(1, -(-rows // each))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

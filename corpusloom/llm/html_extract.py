@@ -17,10 +17,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
@@ -272,15 +271,15 @@ def extract(source: str | None) -> str:
     return "\n\n".join(blocks(root, low))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """The main text of each row of `pages` (page_id, url, html): a map over rows, without a shuffle."""
+def extract_of(source: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(sources: pd.Series) -> pd.Series:
+        return pd.Series([extract(x) if isinstance(x, str) else "" for x in sources], dtype=object)
+
+    return run(source.cast("string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["text"] = [extract(x) if isinstance(x, str) else "" for x in b["html"]]
-            b["n_chars"] = [len(x) for x in b["text"]]
-            b["page_id"] = b["page_id"].astype("Int64")
-            yield b[["page_id", "url", "text", "n_chars"]]
 
-    only = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return only.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """The main text of each row of `pages` (page_id, url, html): a map over rows, without a shuffle."""
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), extract_of(F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -6,12 +6,30 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.llm.ann import ann_search
+from corpusloom.llm.deleted_interpolation import lm_scores
 from corpusloom.llm.html_extract import extract_pages
+from corpusloom.llm.mixing import mixing_rates
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.quality_classifier import quality_scores
 from corpusloom.llm.quality_rules import quality_rules
 from corpusloom.llm.simhash import simhash_components
 from corpusloom.llm.substring_dedup import substring_digests
+from corpusloom.llm.toxicity import toxicity_scores
+
+
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +40,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -35,8 +61,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_ann": op3_ann,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_html_extract": op8_html_extract,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,

@@ -18,16 +18,15 @@ empty table gives an empty result; further columns are ignored, or kept by `near
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, unused
 from corpusloom.llm.components import components, links
 
 #: Bits of the word fingerprint's blocks, and their number.
@@ -75,18 +74,17 @@ def widen(hashes: np.ndarray, k: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, print): the 64-bit fingerprint of each row of `docs` as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = np.zeros(len(b), np.uint64)
-            for i, text in enumerate(b["text"]):
-                if isinstance(text, str):
-                    h = shingle_hashes(text.encode("utf-8", "replace").lower().split(), width, seed)
-                    if len(h):
-                        out[i] = vote(h[:, None])[0]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "print": out.view(np.int64)})
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), np.uint64)
+        for i, text in enumerate(texts):
+            if isinstance(text, str):
+                h = shingle_hashes(text.encode("utf-8", "replace").lower().split(), width, seed)
+                if len(h):
+                    out[i] = vote(h[:, None])[0]
+        return pd.Series(out.view(np.int64))
 
-    only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return only.mapInPandas(run, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("print"))
 
 
 def block_masks(distance: int, nodes: int, bits: int = 64) -> list[int]:
@@ -128,32 +126,32 @@ def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, distance
     return table.join(by_print, "print").select("doc_id", hexed, "component_id")
 
 
-def signatures(rows: DataFrame, width: int = 5) -> DataFrame:
-    """(uid, doc_id, node, print, blocks) of each row of (uid, doc_id, text) that has words.
+def signature(text: Column, width: int = 5) -> Column:
+    """struct<node, print, blocks> of a text; null fields if it has no words.
 
     node is a hash of the whole lower-cased word sequence; print the 512-bit fingerprint of the
     shingles, and blocks the keys cut from the fingerprint of the distinct words.
     """
     k = -(-BLOCK_BITS * BLOCKS // 64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<node:string,print:binary,blocks:array<int>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
         weights = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
-        for b in batches:
-            out = []
-            for uid, doc, text in zip(b["uid"], b["doc_id"], b["text"], strict=True):
-                words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
-                if not words:
-                    continue
-                node = xxhash.xxh3_64_intdigest(b" ".join(words))
-                prints = vote(widen(np.unique(shingle_hashes(words, width)), PRINT_WORDS))
-                distinct = set(words)
-                h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-                bits = np.unpackbits(vote(widen(h, k)).view(np.uint8), bitorder="little")[: BLOCK_BITS * BLOCKS]
-                out.append((uid, None if pd.isna(doc) else int(doc), signed(node), prints.tobytes(), (bits.reshape(BLOCKS, BLOCK_BITS) @ weights).tolist()))
-            frame = pd.DataFrame(out, columns=["uid", "doc_id", "node", "print", "blocks"])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return rows.mapInPandas(run, "uid long, doc_id long, node long, print binary, blocks array<int>")
+        out: list[tuple] = []
+        for text in texts:
+            words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
+            if not words:
+                out.append((None, None, None))
+                continue
+            node = xxhash.xxh3_64_intdigest(b" ".join(words))
+            prints = vote(widen(np.unique(shingle_hashes(words, width)), PRINT_WORDS))
+            distinct = set(words)
+            h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+            bits = np.unpackbits(vote(widen(h, k)).view(np.uint8), bitorder="little")[: BLOCK_BITS * BLOCKS]
+            out.append((str(signed(node)), prints.tobytes(), (bits.reshape(BLOCKS, BLOCK_BITS) @ weights).tolist()))
+        return pd.DataFrame(out, columns=["node", "print", "blocks"], dtype=object)
+
+    return run(text)
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 2.0) -> DataFrame:
@@ -163,9 +161,11 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
     Jaccard similarity, plus `slack` standard deviations.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = scratch.keep(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    only = rows.select(F.col("_uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = scratch.keep(signatures(only, width))
+    uid, mark = unused(docs, "_uid"), unused(docs, "_signature")
+    rows = scratch.keep(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(mark, signature(F.col("text").cast("string"), width)))
+    table = rows.where(F.col(f"{mark}.node").isNotNull()).select(
+        F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{mark}.node").cast("long").alias("node"), f"{mark}.print", f"{mark}.blocks"
+    )
     nodes = table.groupBy("node").agg(F.min("print").alias("print"), F.min("blocks").alias("blocks"))
     bits = 64 * PRINT_WORDS
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -176,4 +176,4 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     stays = grouped.groupBy("root").agg(F.min(rank).getField("uid").alias("uid"))
     goes = scratch.keep(grouped.select("uid").join(stays.select("uid"), "uid", "left_anti"))
-    return rows.join(goes, rows["_uid"] == goes["uid"], "left_anti").drop("_uid")
+    return rows.join(goes, rows[uid] == goes["uid"], "left_anti").drop(uid, mark)

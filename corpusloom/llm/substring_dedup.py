@@ -13,8 +13,9 @@ set of passages that one anchor brings together, and passages travel to their sh
    smallest id in which the window occurs.
 3. The spans so found go back to their documents, whose texts are shuffled once.
 
-Exact copies are decided by a hash of the whole text, and an anchor that very many documents share is
-split by the windows' own 128-bit hashes, so neither gathers its group in one task.
+Exact copies are decided by a hash of the whole text. A shard of very many segments looks its windows
+up by their 128-bit hashes instead of building an automaton, and the windows of an anchor that a vast
+number of documents share are dealt out by those hashes, so no group gathers in one task.
 
 Defined results: a null or short text loses nothing; words within one text never count against each
 other; rows of the same id don't either; a row without an id loses what a row with an id has, and
@@ -24,20 +25,23 @@ takes nothing from others; an empty table gives an empty result; further columns
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, unused
 
 #: Words in a run whose hash may be an anchor; a power of two.
 RUN = 8
 #: Documents from which on an anchor's windows are dealt out by their own hash.
 HOT = 400
+#: Distinct segments up to which a shard is an automaton; a larger one compares window by window.
+AUTOMATON = 2000
 #: Windows in a segment at most.
 LONGEST = 256
 #: Keys from here on belong to rows without an id.
@@ -46,6 +50,9 @@ NO_ID = 2**62
 CACHE_WORDS = 500_000
 
 
+_PARTS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
@@ -247,14 +254,20 @@ def first_documents(distinct: DataFrame, window: int) -> DataFrame:
                     size = max(1, len(words) // 4 - window + 1)
                     yield (words if len(words) < 4 * window else xxhash.xxh3_128_digest(words)), [{"f": 0, "t": size, "m": first}]
             return
-        automaton, parts = Automaton(), []
-        for words, first, n in rows:
-            sequence = np.frombuffer(words, np.uint32).tolist()
-            automaton.add(sequence, first)
-            parts.append((words, first, n, sequence))
-        for words, first, n, sequence in parts:
+        if len(rows) <= AUTOMATON:
+            automaton, sequences = Automaton(), [np.frombuffer(words, np.uint32).tolist() for words, _, _ in rows]
+            for sequence, (_, first, _) in zip(sequences, rows, strict=True):
+                automaton.add(sequence, first)
+            firsts = (automaton.first_keys(sequence, window) for sequence in sequences)
+        else:  # an automaton would outgrow the task; the digests of windows take a tenth of its memory
+            seen: dict[bytes, int] = {}
+            for words, first, _ in rows:
+                for i in range(0, len(words) - 4 * window + 1, 4):
+                    seen.setdefault(xxhash.xxh3_128_digest(words[i : i + 4 * window]), first)
+            firsts = ([seen[xxhash.xxh3_128_digest(words[i : i + 4 * window])] for i in range(0, len(words) - 4 * window + 1, 4)] for words, _, _ in rows)
+        for (words, first, n), keys in zip(rows, firsts, strict=True):
             runs: list[dict] = []
-            for i, m in enumerate(automaton.first_keys(sequence, window)):
+            for i, m in enumerate(keys):
                 if runs and runs[-1]["m"] == m:
                     runs[-1]["t"] = i + 1
                 else:
@@ -281,9 +294,10 @@ def first_documents(distinct: DataFrame, window: int) -> DataFrame:
     return dealt.mapInPandas(run, "seg binary, runs array<struct<f:int,t:int,m:long>>")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """`docs` (key, text and others), dealt by key, and (key, spans): the words to remove of each key's texts."""
-    surveyed = scratch.keep(survey(docs, window))
+def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """`docs` dealt by the column `key`, and (key, spans): the words to remove of each key's texts."""
+    texts = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    surveyed = scratch.keep(survey(texts, window))
     whole = surveyed.groupBy("tid").agg(F.min("key").alias("owner"))
     owned = surveyed.join(whole, "tid")
     copies = owned.where(f"key > owner and owner < {NO_ID}").select("key", F.struct("tid", F.lit(0).alias("a"), F.col("n_words").cast("int").alias("b")).alias("span"))
@@ -294,8 +308,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50) -> tuple
     flagged = scratch.keep(
         met.groupBy("key", "tid").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     )
-    dealt = docs.repartition("key")
-    met = dealt.select("key", "text").join(flagged, "key", "left").withColumn("tid", F.coalesce("tid", F.lit(0)))  # nulls would turn longs into doubles
+    dealt = docs.repartition(key)
+    met = dealt.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).join(flagged, "key", "left").withColumn("tid", F.coalesce("tid", F.lit(0)))  # nulls would turn longs into doubles
     parts = segments(met, window)
     distinct = parts.groupBy("route", "words").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     found = first_documents(distinct, window)
@@ -306,41 +320,78 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50) -> tuple
 
 
 def cut_out(words: list, tid: int, spans) -> list:
-    """`words` without the spans of this text."""
+    """`words` without the spans (text, from, to) of this text."""
     gone = np.zeros(len(words) + 1, np.int64)
-    for s in spans:
-        if s["tid"] == tid:
-            gone[s["a"]] += 1
-            gone[min(s["b"], len(words))] -= 1
+    for own, a, b in spans:
+        if own == tid:
+            gone[a] += 1
+            gone[min(b, len(words))] -= 1
     return [w for w, k in zip(words, np.cumsum(gone).tolist(), strict=False) if not k]
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row of `docs` (doc_id, text)."""
-    return _apply(docs.select("doc_id", "text"), window, "doc_id long, n_words long, n_removed long, kept_text string", False)
+    return _apply(docs, window, "kept_text", False)
 
 
 def substring_digests(docs: DataFrame, window: int = 50) -> DataFrame:
     """As substring_dedup, with the SHA-256 of the kept text in its place."""
-    return _apply(docs.select("doc_id", "text"), window, "doc_id long, n_words long, n_removed long, kept_sha256 string", True)
+    return _apply(docs, window, "kept_sha256", True)
+
 
+def substring_filter(docs: DataFrame, window: int = 50) -> DataFrame:
+    """`docs` with the repeated passages cut out of its texts.
 
-def _apply(docs: DataFrame, window: int, schema: str, digest: bool) -> DataFrame:
+    What is left keeps its white space: a text loses each removed run of words with the space behind
+    it. A text left without a word goes with its row; one that loses nothing stays as it is. A column
+    n_chars is brought up to date.
+    """
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, key_of(F.col("doc_id"), F.col("text").cast("string")))
+    dealt, spans = repeated_spans(keyed, Scratch(docs.sparkSession, "substrings"), window, key)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, marks in zip(texts, found, strict=True):
+            if marks is not None and isinstance(text, str):
+                raw = text.encode("utf-8", "replace")
+                parts = _PARTS.findall(raw)  # each word with the space behind it
+                lead = raw[: len(raw) - sum(map(len, parts))]
+                left = cut_out(parts, text_id(text), marks)
+                if len(left) < len(parts):
+                    text = (lead + b"".join(left)).decode("utf-8") if left else None
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    spans = spans.select(F.col("key").alias(f"{key}_"), _flat("spans").alias(f"{key}s"))
+    joined = dealt.join(spans, F.col(key) == F.col(f"{key}_"), "left")
+    gone = f"{key}t"
+    joined = joined.withColumn(gone, F.when(F.col(f"{key}s").isNotNull(), cut(F.col("text").cast("string"), F.col(f"{key}s"))).otherwise(F.col("text").cast("string")))
+    kept = joined.where(F.col(f"{key}s").isNull() | F.col(gone).isNotNull()).withColumn("text", F.col(gone))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(f"{key}s").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _flat(column: str) -> Column:
+    return F.transform(column, lambda s: F.array(s["tid"], s["a"].cast("long"), s["b"].cast("long")))
+
+
+def _apply(docs: DataFrame, window: int, kept: str, digest: bool) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("key", key_of(F.col("doc_id"), F.col("text"))).select("key", "doc_id", "text")
     dealt, spans = repeated_spans(keyed, Scratch(docs.sparkSession, "substrings"), window)
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text, found in zip(b["text"], b["spans"], strict=True):
-                words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
-                kept = words if found is None else cut_out(words, text_id(text), found)
-                line = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest() if digest else line.decode("utf-8")))
-            frame = pd.DataFrame(out, columns=names[1:])
-            frame.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield frame.astype({"doc_id": "Int64"})
-
-    return dealt.join(spans, "key", "left").select("doc_id", "text", "spans").mapInPandas(run, schema)
+    kind = f"struct<n_words:long,n_removed:long,{kept}:string>"
+
+    @F.pandas_udf(kind)
+    def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, marks in zip(texts, found, strict=True):
+            words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
+            left = words if marks is None else cut_out(words, text_id(text), marks)
+            line = b" ".join(left)
+            out.append((len(words), len(words) - len(left), hashlib.sha256(line).hexdigest() if digest else line.decode("utf-8")))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", kept])
+
+    return dealt.join(spans, "key", "left").select("doc_id", cut("text", _flat("spans")).alias("c")).select("doc_id", "c.*")
