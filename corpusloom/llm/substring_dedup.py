@@ -39,7 +39,7 @@ from corpusloom.llm.common import Scratch, unused
 #: Words in a run whose hash may be an anchor; a power of two.
 RUN = 8
 #: Documents from which on an anchor's windows are dealt out by their own hash.
-HOT = 400
+HOT = 20_000
 #: Distinct segments up to which a shard is an automaton; a larger one compares window by window.
 AUTOMATON = 2000
 #: Windows in a segment at most.
