@@ -24,46 +24,77 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, partitions_for
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
+#: Words, and stems of words, whose ids a Python worker remembers.
+CACHE_WORDS, CACHE_STEMS = 450_000, 800_000
+#: ASCII marks that end words.
+MARKS = b".,!?;:#$%&*|"
 
 _known: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer and this worker's memory of words, loaded once for each Python worker."""
+    """The tokenizer and this worker's memory of words and stems, loaded once for each Python worker."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {})
+        _known[path] = (Tokenizer.from_file(path), {}, {})
     return _known[path]
 
 
+def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
+    """A word without the ASCII marks at its end, and those marks.
+
+    The tokenizer always splits between a letter or digit and such a mark, so both have their own
+    ids. Anything less plain is left in one piece.
+    """
+    stem = word.rstrip(MARKS)
+    if stem and len(stem) < len(word) and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode("utf-8")[-1].isalpha()):
+        return stem, word[len(stem) :]
+    return word, b""
+
+
+def folded(text: str) -> list[bytes]:
+    """The words of a text, A-Z in lower case as the tokenizer has them; special tokens keep theirs."""
+    raw = text.encode("utf-8", "replace")
+    return (raw if b"<|" in raw else raw.lower()).split()
+
+
+def learn(new: list[bytes], path: str) -> None:
+    """Encode words that the worker doesn't know, each distinct stem once, thousands at a call."""
+    model, known, stems = tokenizer(path)
+    parts = [stem_and_tail(w) for w in new]
+    unknown = list({x for p in parts for x in p if x and x not in stems})
+    for at in range(0, len(unknown), 5_000):
+        some = unknown[at : at + 5_000]
+        e = model.encode([x.decode("utf-8") for x in some], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some)), "right") * 4
+        for x, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            stems[x] = ids[a:b]
+    stems[b""] = b""
+    for w, (stem, tail) in zip(new, parts, strict=True):
+        known[w] = stems[stem] + stems[tail]
+
+
 def encode(texts: list[str], path: str, cache_words: int = CACHE_WORDS) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers.
 
     The tokenizer never joins characters across ASCII white space, so a text's ids are its words'
     ids in turn, and each distinct word is encoded once.
     """
-    model, known = tokenizer(path)
-    fast = getattr(model, "encode_batch_fast", model.encode_batch)
-    for text in texts:
-        words = text.encode("utf-8", "replace").split()
-        try:
-            yield b"".join([known[w] for w in words])
-            continue
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
+    _, known, stems = tokenizer(path)
+    for at in range(0, len(texts), 256):
+        lists = [folded(t) for t in texts[at : at + 256]]
+        new = set().union(*lists).difference(known)
         if len(known) + len(new) > cache_words:
             known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        yield b"".join([known[w] for w in words])
+            new = set().union(*lists)
+        if len(stems) + len(new) > CACHE_STEMS:
+            stems.clear()
+        learn(list(new), path)
+        for words in lists:
+            yield b"".join([known[w] for w in words])
 
 
 def cut(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int = 1) -> DataFrame:
@@ -79,11 +110,13 @@ def cut(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int
                 n = len(ids) // 4
                 for s in range(0, n, sequence):
                     part = ids[4 * s : 4 * (s + sequence)]
-                    rows.append((None if pd.isna(doc) else int(doc), s, len(part) // 4, zlib.crc32(part), n))
+                    rows.append((None if doc is None else int(doc), s, len(part) // 4, zlib.crc32(part), n))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+            out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
+            yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(pieces, PIECES)
+    # ids travel as text: beside a null, pandas would turn numbers into doubles
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(pieces, PIECES)
 
 
 def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -117,7 +150,7 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 def pack(pieces: DataFrame, scratch: Scratch, sequence: int = 2048, group_rows: int = 8192) -> DataFrame:
     """Give each piece a sequence and its place there."""
-    table = scratch.keep(pieces.withColumn("row", F.monotonically_increasing_id()))
+    table = scratch.keep(pieces.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
     groups = partitions_for(table.count(), group_rows)
     dealt = table.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
 
@@ -126,10 +159,10 @@ def pack(pieces: DataFrame, scratch: Scratch, sequence: int = 2048, group_rows:
         bins, offsets = first_fit(b["length"].tolist(), sequence)
         b["sequence_id"] = b["grp"] * np.int64(2**32) + np.array(bins, "int64")
         b["offset"] = np.array(offsets, "int64")
-        b["doc_id"] = b["doc_id"].astype("Int64")
+        b["doc_id"] = pd.array([None if x is None else int(x) for x in b["doc_id"]], "Int64")
         return b.drop(columns=["row", "grp"])
 
-    return dealt.groupBy("grp").applyInPandas(ffd, PIECES + ", sequence_id long, offset long")
+    return dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("grp").applyInPandas(ffd, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int = 1, group_rows: int = 8192) -> DataFrame:
