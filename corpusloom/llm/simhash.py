@@ -87,33 +87,31 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("print"))
 
 
-def block_masks(distance: int, nodes: int, bits: int = 64) -> list[int]:
-    """The keys' masks: every choice of (blocks - distance) blocks, with the number of blocks that costs least.
+def block_masks(distance: int, blocks: int, bits: int = 64) -> list[int]:
+    """The keys' masks: every choice of (blocks - distance) of the blocks.
 
-    Each key costs a row for every node, and chance pairs cost a comparison each; either way no
-    pair within the distance is missed.
+    More blocks make more keys, of more bits each: a row more for every node, and fewer chance pairs.
+    Either way no pair within the distance is missed.
     """
-
-    def cost(m: int) -> float:
-        kept = bits * (m - distance) / m
-        return math.comb(m, distance) * nodes * (1 + 0.1 * nodes / 2**kept)
-
-    m = min(range(distance + 1, distance + 6), key=cost)
-    edges = [round(i * bits / m) for i in range(m + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, m - distance)]
+    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of `docs` (doc_id, text)."""
+def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of `docs` (doc_id, text).
+
+    Six blocks give 15 keys of 21 or 22 bits, fit for up to some 10^8 fingerprints; seven give 35
+    keys of 27 bits.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     table = scratch.keep(fingerprints(docs, width, seed))
     nodes = scratch.keep(table.groupBy("print").agg(F.min("doc_id").alias("least")))
-    masks = block_masks(distance, nodes.count())
+    masks = block_masks(distance, blocks)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col("print").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)]))
     keys = nodes.select(F.col("print").alias("node"), each.alias("k")).select("k.kind", "k.key", "node")
     # a long's bytes in either order compare alike
