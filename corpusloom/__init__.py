@@ -1,0 +1 @@
+"""corpusloom: document retrieval, question answering and evaluation as Spark DataFrame plans."""
