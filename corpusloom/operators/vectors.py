@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -34,9 +34,18 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-@lru_cache(maxsize=1 << 18)
+#: Buckets that a worker remembers, and how many at most.
+_buckets: dict[str, int] = {}
+_BUCKETS_MOST = 1 << 18
+
+
 def _bucket(word: str, dimension: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension
+    n = _buckets.get(word)
+    if n is None:
+        if len(_buckets) >= _BUCKETS_MOST:
+            _buckets.clear()
+        n = _buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+    return n % dimension
 
 
 class HashingEmbedder:

@@ -28,8 +28,21 @@ PAGE = "document_id string, document_name string, source_type string, page_numbe
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modificationTime, content) of all files below a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """(path, length, modificationTime, content) of all files below a path.
+
+    Spark's reader leaves out files without a byte; they are listed apart, so that each gets its error code.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, empty = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        if not f.getLen():
+            empty.append((f.getPath().toString(),))
+    if not empty:
+        return files
+    rows = spark.createDataFrame(empty, "path string")
+    return files.unionByName(rows.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
 
 
 def suffix(path: Column) -> Column:
