@@ -38,4 +38,16 @@ j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT *, NOT base_failed AND len(failed_rules) = 0 AS kept FROM j"""
 
 
-ORACLES: dict[str, str] = {"op4_quality_rules": op4()}
+def op10(window: int = 50) -> str:
+    return rf"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(words[i : i + {window - 1}], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(words) - {window - 2})) AS i FROM w WHERE len(words) >= {window})),
+m AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < coalesce(doc_id, 9223372036854775807)),
+gone AS (SELECT DISTINCT r, i + j AS p FROM m, range({window}) t(j)),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.p) AS text, count(*) AS n
+  FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) x LEFT JOIN gone ON gone.r = x.r AND gone.p = x.p WHERE gone.p IS NULL GROUP BY x.r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)"""
+
+
+ORACLES: dict[str, str] = {"op4_quality_rules": op4(), "op10_substring_dedup": op10()}

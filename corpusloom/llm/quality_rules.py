@@ -31,7 +31,7 @@ RULES = (
     ("mean_word_chars", "word_chars", "n_words", 2000, 16000),
     ("symbol_ratio", "n_symbols", "n_words", None, 100),
     ("stop_word_ratio", "n_stop_words", "n_words", 20, None),
-    ("dup_line_ratio", "n_dup_lines", "n_lines", None, 300),
+    ("dup_line_ratio", "n_dup_lines", "n_lines", None, 400),
     ("ellipsis_line_ratio", "n_ellipsis_lines", "n_lines", None, 300),
     ("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 900),
 )
