@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import real, top_k_or
@@ -50,6 +50,32 @@ def build_index(chunks: DataFrame, stop_words: tuple[str, ...] | None = STOP_WOR
     return Bm25Index(tokens, corpus, stop_words, k1, b)
 
 
+@dataclass(frozen=True)
+class StoredBm25Index(Bm25Index):
+    """An index read back from a folder: postings sorted by term, so a few terms prune the files they read."""
+
+    stored: DataFrame
+
+    def postings(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        return self.stored if vocabulary is None else self.stored.join(vocabulary, "term", "left_semi")
+
+
+def save_index(index: Bm25Index, path: str, files: int | None = None) -> None:
+    """Write the postings in ranges of terms, and the sums, below `path`."""
+    postings = index.postings()
+    ranged = postings.repartitionByRange(files, "term") if files else postings.repartitionByRange("term")
+    ranged.sortWithinPartitions("term", "chunk_ord").write.mode("overwrite").parquet(f"{path}/postings")
+    index.tokens.select("chunk_ord", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def load_index(spark: SparkSession, path: str, stop_words: tuple[str, ...] | None = STOP_WORDS, k1: float = 1.5, b: float = 0.75) -> StoredBm25Index:
+    real("k1", k1, 0, float("inf"))
+    real("b", b, 0, 1)
+    read = spark.read.parquet
+    return StoredBm25Index(read(f"{path}/lengths"), read(f"{path}/corpus"), stop_words, k1, b, read(f"{path}/postings"))
+
+
 def question_terms(questions: DataFrame, stop_words: tuple[str, ...] | None = STOP_WORDS) -> DataFrame:
     """(query_id, term, qtf) of the valid rows of (query_id, query); repeats of a word count."""
     valid = questions.where(query_error("query").isNull())

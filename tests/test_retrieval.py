@@ -47,6 +47,14 @@ def test_bm25(spark, chunks):
     assert [r.score for r in sorted(got, key=lambda r: r.rank)] == pytest.approx([want[i] for i in order])
 
 
+def test_stored_index(spark, chunks, tmp_path):
+    index = B.build_index(chunks)
+    B.save_index(index, f"file://{tmp_path}/i", 3)
+    stored = B.load_index(spark, f"file://{tmp_path}/i")
+    q = asked(spark, "deep networks", "bonds")
+    assert sorted(map(str, B.search(stored, q).collect())) == sorted(map(str, B.search(index, q).collect()))
+
+
 def test_bm25_limits(spark, chunks):
     index = B.build_index(chunks)
     best = B.search(index, asked(spark, "networks"), 1000).count()
