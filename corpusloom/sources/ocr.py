@@ -140,6 +140,18 @@ class CommandEngine:
 
     def __init__(self, command: str = "tesseract", layout=None) -> None:
         self.command, self.layout = command, layout or layout_of
+        self._version: str | None = None
+
+    def version(self) -> str:
+        """The first line that the engine says of itself; asked once."""
+        if self._version is None:
+            try:
+                done = subprocess.run([self.command, "--version"], capture_output=True, timeout=10, check=False)
+            except (OSError, subprocess.TimeoutExpired) as e:
+                raise OcrUnavailableError(str(e)) from e
+            said = (done.stdout or done.stderr).decode("utf-8", "replace").splitlines()
+            self._version = said[0].strip() if said else ""
+        return self._version
 
     def recognize(self, image: bytes, language: str = "eng", timeout: float = 60.0) -> Recognized:
         if not re.fullmatch(r"[A-Za-z]{3}(_[A-Za-z]+)?(\+[A-Za-z]{3}(_[A-Za-z]+)?)*", language):
