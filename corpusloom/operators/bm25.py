@@ -37,7 +37,9 @@ class Bm25Index:
         return rows.groupBy("term", "chunk_ord", "dl").agg(F.count("*").alias("tf"))
 
     def document_frequency(self, postings: DataFrame | None = None) -> DataFrame:
-        return (self.postings() if postings is None else postings).groupBy("term").agg(F.count("*").alias("df"))
+        """(term, df). Counting by tf keeps that column, so the plan reuses the postings' exchange."""
+        rows = self.postings() if postings is None else postings
+        return rows.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def build_index(chunks: DataFrame, stop_words: tuple[str, ...] | None = STOP_WORDS, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
