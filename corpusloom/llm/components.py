@@ -71,6 +71,9 @@ def links(keys: DataFrame, most: int, tile: int = TILE) -> DataFrame:
             for nodes, prints in zip(batch["nodes"], batch["prints"], strict=True):
                 if len(nodes) > 1:
                     words = np.frombuffer(b"".join(prints), np.uint64).reshape(len(nodes), -1)
+                    # from the smallest node on: groups that share their nodes then give the same links
+                    order = np.argsort(nodes)
+                    nodes, words = np.asarray(nodes)[order], words[order]
                     for x, y in spanning_links(words, most):
                         a.append(nodes[x])
                         b.append(nodes[y])
