@@ -25,10 +25,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows and bytes of the batches in which Python workers get their rows, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the batches of whole texts small; smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -65,6 +78,20 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows of `df` by the hash of a key, the same in every run; all rows if there are no more.
+
+    A share of the hashes is kept instead of the smallest ones, so that no task sends a whole
+    sample's worth of candidates to the driver. At most a fifth more than `rows` are returned.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    scale = 1 << 30
+    kept = df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(scale)) < F.lit(max(1, scale * rows // n)))
+    return kept.limit(rows + rows // 5)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, lengthened until `df` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -24,22 +26,22 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, partitions_for
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words, and stems of words, whose ids a Python worker remembers.
-CACHE_WORDS, CACHE_STEMS = 450_000, 800_000
+#: Words, and stems of words, whose ids a task remembers.
+CACHE_WORDS, CACHE_STEMS = 500_000, 500_000
 #: ASCII marks that end words.
 MARKS = b".,!?;:#$%&*|"
 
-_known: dict[str, tuple] = {}
+_models: dict[str, object] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer and this worker's memory of words and stems, loaded once for each Python worker."""
-    if path not in _known:
+    """The tokenizer, loaded once for each Python worker."""
+    if path not in _models:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {}, {})
-    return _known[path]
+        _models[path] = Tokenizer.from_file(path)
+    return _models[path]
 
 
 def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
@@ -60,9 +62,8 @@ def folded(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def learn(new: list[bytes], path: str) -> None:
-    """Encode words that the worker doesn't know, each distinct stem once, thousands at a call."""
-    model, known, stems = tokenizer(path)
+def learn(new: list[bytes], model, known: dict[bytes, bytes], stems: dict[bytes, bytes]) -> None:
+    """Encode words that the task doesn't know, each distinct stem once, thousands at a call."""
     parts = [stem_and_tail(w) for w in new]
     unknown = list({x for p in parts for x in p if x and x not in stems})
     for at in range(0, len(unknown), 5_000):
@@ -77,22 +78,22 @@ def learn(new: list[bytes], path: str) -> None:
         known[w] = stems[stem] + stems[tail]
 
 
-def encode(texts: list[str], path: str, cache_words: int = CACHE_WORDS) -> Iterator[bytes]:
+def encode(texts: Iterable[str], path: str, cache_words: int = CACHE_WORDS) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers.
 
     The tokenizer never joins characters across ASCII white space, so a text's ids are its words'
     ids in turn, and each distinct word is encoded once.
     """
-    _, known, stems = tokenizer(path)
-    for at in range(0, len(texts), 256):
-        lists = [folded(t) for t in texts[at : at + 256]]
+    model, known, stems = tokenizer(path), {}, {}
+    for some in batched(texts, 256):
+        lists = [folded(t) for t in some]
         new = set().union(*lists).difference(known)
         if len(known) + len(new) > cache_words:
             known.clear()
             new = set().union(*lists)
         if len(stems) + len(new) > CACHE_STEMS:
             stems.clear()
-        learn(list(new), path)
+        learn(list(new), model, known, stems)
         for words in lists:
             yield b"".join([known[w] for w in words])
 
@@ -102,10 +103,18 @@ def cut(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        docs: deque[str | None] = deque()
+
+        def texts() -> Iterator[str]:
+            for b in batches:
+                for doc, t in zip(b["doc_id"], b["text"], strict=True):
+                    docs.append(doc)
+                    yield t if isinstance(t, str) else ""
+
+        for some in batched(encode(texts(), tokenizer_path), 1024):  # one memory of words for the whole task
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for doc, ids in zip(b["doc_id"], encode(texts, tokenizer_path), strict=True):
+            for ids in some:
+                doc = docs.popleft()
                 ids += end
                 n = len(ids) // 4
                 for s in range(0, n, sequence):
@@ -167,4 +176,5 @@ def pack(pieces: DataFrame, scratch: Scratch, sequence: int = 2048, group_rows:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int = 1, group_rows: int = 8192) -> DataFrame:
     """Pack `docs` (doc_id, text) into sequences of at most `sequence` ids: a row for each piece."""
-    return pack(cut(docs, tokenizer_path, sequence, end_id), Scratch(docs.sparkSession, "packing"), sequence, group_rows)
+    scratch = Scratch(docs.sparkSession, "packing")
+    return pack(cut(docs, tokenizer_path, sequence, end_id), scratch, sequence, group_rows)

@@ -41,12 +41,12 @@ RUN = 8
 #: Documents from which on an anchor's windows are dealt out by their own hash.
 HOT = 20_000
 #: Distinct segments up to which a shard is an automaton; a larger one compares window by window.
-AUTOMATON = 2000
+AUTOMATON = 1000
 #: Windows in a segment at most.
 LONGEST = 256
 #: Keys from here on belong to rows without an id.
 NO_ID = 2**62
-#: Distinct words whose hashes a Python worker remembers.
+#: Distinct words whose hashes a task remembers.
 CACHE_WORDS = 500_000
 
 
@@ -61,11 +61,8 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
@@ -183,12 +180,13 @@ def survey(rows: DataFrame, window: int) -> DataFrame:
     """(key, tid, n_words, anchors): of each row with a window, its distinct anchors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
         for b in batches:
             out = []
             for key, text in zip(b["key"], b["text"], strict=True):
                 words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
                 if len(words) >= window:
-                    out.append((key, text_id(text), len(words), np.unique(anchors(word_hashes(words), window))))
+                    out.append((key, text_id(text), len(words), np.unique(anchors(word_hashes(words, known), window))))
             yield pd.DataFrame(out, columns=["key", "tid", "n_words", "anchors"])
 
     return rows.select("key", "text").mapInPandas(run, "key long, tid long, n_words long, anchors array<long>")
@@ -198,6 +196,7 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
     """(key, tid, start, route, seg, words): the segments of (key, text, shared, hot)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
         for b in batches:
             keys, tids, at, routes, segs, blobs = [], [], [], [], [], []
             for key, tid, text, shared, hot in zip(b["key"], b["tid"], b["text"], b["shared"], b["hot"], strict=True):
@@ -206,7 +205,7 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
                 words = text.encode("utf-8", "replace").split()
                 if len(words) < window or (own := text_id(text)) != tid:
                     continue
-                h = word_hashes(words)
+                h = word_hashes(words, known)
                 a = anchors(h, window)
                 starts, ends = stretches(a)
                 mine = a[starts]
@@ -259,12 +258,12 @@ def first_documents(distinct: DataFrame, window: int) -> DataFrame:
             for sequence, (_, first, _) in zip(sequences, rows, strict=True):
                 automaton.add(sequence, first)
             firsts = (automaton.first_keys(sequence, window) for sequence in sequences)
-        else:  # an automaton would outgrow the task; the digests of windows take a tenth of its memory
-            seen: dict[bytes, int] = {}
-            for words, first, _ in rows:
-                for i in range(0, len(words) - 4 * window + 1, 4):
-                    seen.setdefault(xxhash.xxh3_128_digest(words[i : i + 4 * window]), first)
-            firsts = ([seen[xxhash.xxh3_128_digest(words[i : i + 4 * window])] for i in range(0, len(words) - 4 * window + 1, 4)] for words, _, _ in rows)
+        else:  # an automaton would outgrow the task; sorted digests of windows take a few bytes each
+            sizes = [len(words) // 4 - window + 1 for words, _, _ in rows]
+            digests = b"".join(xxhash.xxh3_128_digest(words[i : i + 4 * window]) for words, _, _ in rows for i in range(0, len(words) - 4 * window + 1, 4))
+            _, place, window_of = np.unique(np.frombuffer(digests, "S16"), return_index=True, return_inverse=True)
+            owners = np.repeat(np.array([first for _, first, _ in rows], np.int64), sizes)
+            firsts = (x.tolist() for x in np.split(owners[place[window_of]], np.cumsum(sizes)[:-1]))  # rows ascend by key
         for (words, first, n), keys in zip(rows, firsts, strict=True):
             runs: list[dict] = []
             for i, m in enumerate(keys):
