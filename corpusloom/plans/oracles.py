@@ -174,6 +174,9 @@ SELECT doc_id, CASE WHEN q IS NULL THEN 'invalid_query:missing' WHEN len(q) > 10
 SELECT conv_id, turn, CASE WHEN q = '' THEN 'invalid_query:empty' WHEN len(q) > 10000 THEN 'invalid_query:too_long' END AS error FROM r""",
     "normalize_text": f"SELECT doc_id, {_fold('nfc_normalize(replace(replace(text, chr(233), chr(101) || chr(769)), chr(32), chr(9) || chr(160)))')} AS normal FROM documents",
     "cer": f"SELECT item_id, round(levenshtein(r, h) / len(r), 6) AS cer FROM (SELECT item_id, {_fold('r')} AS r, {_fold(_SPOILED.format('r'))} AS h FROM (SELECT item_id, {_ASCII} AS r FROM benchmark))",
+    # words become single ASCII characters, of which a pair needs fewer than 90
+    "wer": f"""WITH p AS (SELECT item_id, string_split(r, ' ') AS r, string_split(h, ' ') AS h, list_distinct(string_split(r, ' ') || string_split(h, ' ')) AS d FROM (SELECT item_id, {_fold('text')} AS r, {_fold(_SPOILED.format('text'))} AS h FROM benchmark))
+SELECT item_id, round(levenshtein(array_to_string(list_transform(r, lambda w: chr(32 + list_position(d, w))), ''), array_to_string(list_transform(h, lambda w: chr(32 + list_position(d, w))), '')) / len(r), 6) AS wer FROM p""",
     "extract_page_number": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND m IS NULL THEN 5 ELSE {_PAGE} END::INT AS page FROM (SELECT doc_id, {_META} AS m FROM documents)""",
     "build_prompt": f"SELECT conv_id, turn, 2 AS n, 'system' AS first_role, {_lit('QUESTION:' + chr(10))} || {_strip('text')} || {_lit(chr(10) * 2 + 'CONTEXT:' + chr(10))} || 'turn ' || turn || {_lit(chr(10) * 2 + 'Answer:')} AS \"user\" FROM conversations WHERE role = 'user'",
     "flatten_metadata": f"""SELECT doc_id, array_to_string(list_sort(list_filter(['chunk_id=' || doc_id || '#0', 'document_id=' || doc_id, CASE WHEN doc_id % 3 > 0 THEN 'page_number=' || (doc_id % 3) END, 'lang=' || lang,
