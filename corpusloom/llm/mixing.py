@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, unused
+from corpusloom.llm.common import Scratch, bounded_sample, unused
 from corpusloom.llm.quality_classifier import NAMES, statistics
 from corpusloom.llm.toxicity import INSULTS, learn_lexicon, plain_words
 
@@ -97,7 +97,7 @@ def learn_domains(rows: DataFrame, labels: DataFrame, sample_rows: int) -> tuple
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
     known = known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("doc_id", domain.alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = bounded_sample(known, "doc_id", sample_rows)
 
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).alias("half")
     sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "y", half)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.calibration import Isotonic, clear_labels
-from corpusloom.llm.common import Scratch, fold, unused
+from corpusloom.llm.common import Scratch, bounded_sample, fold, unused
 from corpusloom.llm.quality_rules import STOP_WORDS
 
 #: Random features, besides the constant.
@@ -143,7 +143,7 @@ def normal_equations(rows: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.
 
 def fit(train: DataFrame, sample_rows: int = 20_000):
     """A function from statistics to scores, learned from (doc_id, x, y)."""
-    sample = train.select("x", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_rows).select("x").toPandas()["x"]
+    sample = bounded_sample(train, "doc_id", sample_rows).select("x").toPandas()["x"]
     fourier = Fourier(np.stack(sample.to_numpy()) if len(sample) else np.zeros((0, len(NAMES))))
     aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(5)) == 0
     a, v, n = normal_equations(train.where(~aside), fourier)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.calibration import Isotonic, clear_labels
-from corpusloom.llm.common import fold
+from corpusloom.llm.common import bound_batches, bounded_sample, fold
 
 #: Insults of the four languages.
 INSULTS = (
@@ -96,7 +96,7 @@ class Trees:
     """Gradient-boosted regression trees for the logistic loss, over quantile bins."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> None:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         for k, c in enumerate(self.cuts):  # counts are mostly zero: 0, 1, 2 and so on stay apart
             values = np.unique(x[:, k])
             self.cuts[k] = np.unique(np.concatenate([c, values[:8]]))
@@ -192,9 +192,10 @@ def _all_features(texts, learned: dict[bytes, float], seeds: frozenset) -> np.nd
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """Scores of each row of `docs` (doc_id, text), learned from `labels` (doc_id, toxic) outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     held = F.coalesce(fold(F.col("doc_id"), modulus) == held_out, F.lit(False))
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = clear_labels(labels, "toxic").where(~held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = bounded_sample(clear_labels(labels, "toxic").where(~held), "doc_id", sample_rows)
     # three of four rows make the lexicon and the trees, the fourth calibrates them
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(4)).cast("int").alias("part")
     sample = only.join(F.broadcast(chosen), "doc_id").select("text", "y", part)
