@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import bound_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
@@ -42,6 +44,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search menu menu
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu topbar toolbar breadcrumb breadcrumbs header masthead footer sidebar widget related recommended cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social comment comments respond reply replies disqus pagination pager skip copyright legal disclaimer".split()
 )
+#: Those of them that mark an article of its own as boilerplate, such as a reader's comment.
+_ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsor sponsored promo related recommended comment comments respond reply replies teaser".split())
 _SHUTS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -62,15 +66,16 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is boilerplate by its tag, role, class or id. inside: it stands in an article."""
     if tag in _NEVER or (tag == "header" and not inside):
         return True
-    if not attributes or tag in ("body", "html", "article", "main"):
+    if not attributes or tag in ("body", "html", "main"):
         return False
+    marks = _ARTICLE_MARKS if tag == "article" else _MARKS - {"header"} if inside else _MARKS
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
             return True
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if not _MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+            if not marks.isdisjoint(re.split(r"[^a-z]+", value)):
                 return True
         elif (name == "role" and value in _ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
@@ -281,5 +286,6 @@ def extract_of(source: Column) -> Column:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of each row of `pages` (page_id, url, html): a map over rows, without a shuffle."""
+    bound_batches(pages.sparkSession)
     out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), extract_of(F.col("html")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

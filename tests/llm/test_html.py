@@ -30,3 +30,9 @@ def test_odd_pages(spark):
     assert [text[i] for i in (0, 1, 2, 3, 4, 6, 7, 8, 9, 12)] == ["", "", "", "unclosed bold", "plain text", "a\n\nb", "", "x", "deep", "x & y"]
     assert len(text[10]) == 200_000 * 5 - 1 and text[None] == "z" and text[11] == "a < b and c > d"
     assert extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_articles_within_an_article():
+    page = """<main><article><div class="entry-header"><h1>Title</h1></div><p>The text of the story.</p></article>
+    <section><article class="comment"><p>A reader's long remark about the story and much else besides.</p></article></section></main>"""
+    assert extract(page) == "Title\n\nThe text of the story."
