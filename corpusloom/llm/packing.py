@@ -26,21 +26,21 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, partitions_for
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words, and stems of words, whose ids a task remembers.
-CACHE_WORDS, CACHE_STEMS = 500_000, 500_000
+#: Words whose ids a task remembers, and stems of words whose ids a Python worker remembers.
+CACHE_WORDS, CACHE_STEMS = 500_000, 400_000
 #: ASCII marks that end words.
 MARKS = b".,!?;:#$%&*|"
 
-_models: dict[str, object] = {}
+_models: dict[str, tuple] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer, loaded once for each Python worker."""
+def tokenizer(path: str) -> tuple:
+    """The tokenizer and the stems that it has encoded, kept for each Python worker."""
     if path not in _models:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _models[path] = Tokenizer.from_file(path)
+        _models[path] = (Tokenizer.from_file(path), {})
     return _models[path]
 
 
@@ -66,6 +66,11 @@ def learn(new: list[bytes], model, known: dict[bytes, bytes], stems: dict[bytes,
     """Encode words that the task doesn't know, each distinct stem once, thousands at a call."""
     parts = [stem_and_tail(w) for w in new]
     unknown = list({x for p in parts for x in p if x and x not in stems})
+    # letters a-z alone pass normaliser and splitter as they are: their merges are all that is left to do
+    plain = [x for x in unknown if x.isalpha() and x.islower()]  # of bytes, these ask for a-z
+    for x in plain:
+        stems[x] = np.array([t.id for t in model.model.tokenize(x.decode())], "<u4").tobytes()
+    unknown = [x for x in unknown if x not in stems]
     for at in range(0, len(unknown), 5_000):
         some = unknown[at : at + 5_000]
         e = model.encode([x.decode("utf-8") for x in some], is_pretokenized=True, add_special_tokens=False)
@@ -84,7 +89,7 @@ def encode(texts: Iterable[str], path: str, cache_words: int = CACHE_WORDS) -> I
     The tokenizer never joins characters across ASCII white space, so a text's ids are its words'
     ids in turn, and each distinct word is encoded once.
     """
-    model, known, stems = tokenizer(path), {}, {}
+    (model, stems), known = tokenizer(path), {}
     for some in batched(texts, 256):
         lists = [folded(t) for t in some]
         new = set().union(*lists).difference(known)
