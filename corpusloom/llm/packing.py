@@ -17,6 +17,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import batched
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -26,21 +27,26 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Scratch, partitions_for
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words whose ids a task remembers, and stems of words whose ids a Python worker remembers.
-CACHE_WORDS, CACHE_STEMS = 500_000, 400_000
+#: Words and stems whose ids a task remembers.
+CACHE_WORDS = 500_000
 #: ASCII marks that end words.
 MARKS = b".,!?;:#$%&*|"
 
-_models: dict[str, tuple] = {}
+_models: dict[str, object] = {}
+#: The characters that byte-level tokenizers write bytes as: printable ones stand for themselves, others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [b for b in range(256) if b not in set(_PRINTABLE)]
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(_OTHERS)}
+_AS_BYTES = [_BYTES[b] for b in range(256)]
 
 
-def tokenizer(path: str) -> tuple:
-    """The tokenizer and the stems that it has encoded, kept for each Python worker."""
+def tokenizer(path: str):
+    """The tokenizer, loaded once for each Python worker."""
     if path not in _models:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _models[path] = (Tokenizer.from_file(path), {})
+        _models[path] = Tokenizer.from_file(path)
     return _models[path]
 
 
@@ -62,25 +68,45 @@ def folded(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def learn(new: list[bytes], model, known: dict[bytes, bytes], stems: dict[bytes, bytes]) -> None:
-    """Encode words that the task doesn't know, each distinct stem once, thousands at a call."""
-    parts = [stem_and_tail(w) for w in new]
-    unknown = list({x for p in parts for x in p if x and x not in stems})
-    # letters a-z alone pass normaliser and splitter as they are: their merges are all that is left to do
-    plain = [x for x in unknown if x.isalpha() and x.islower()]  # of bytes, these ask for a-z
-    for x in plain:
-        stems[x] = np.array([t.id for t in model.model.tokenize(x.decode())], "<u4").tobytes()
-    unknown = [x for x in unknown if x not in stems]
-    for at in range(0, len(unknown), 5_000):
-        some = unknown[at : at + 5_000]
-        e = model.encode([x.decode("utf-8") for x in some], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some)), "right") * 4
-        for x, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            stems[x] = ids[a:b]
-    stems[b""] = b""
-    for w, (stem, tail) in zip(new, parts, strict=True):
-        known[w] = stems[stem] + stems[tail]
+def merged(merges, text: str) -> list[int]:
+    """Ids of a piece that normaliser and splitter leave as it is."""
+    return [t.id for t in merges.tokenize("".join([_AS_BYTES[b] for b in text.encode()]))]
+
+
+def is_plain(model) -> bool:
+    """Whether a tokenizer folds case, splits marks off words and works on bytes, as the short ways here ask for."""
+
+    def ids(text: str) -> list[int]:
+        return model.encode(text, add_special_tokens=False).ids
+
+    words = ("the", "zebraing", "née", "straße", "überñandú")
+    return all(ids(w) == ids(w.title()) == merged(model.model, w) and ids(f"{w}.") == ids(w) + ids(".") and ids(f"{w}?! {w}#$") == ids(w) + ids("?!") + ids(w) + ids("#$") for w in words)
+
+
+class Words(dict):
+    """A task's words to their ids, made when first asked for."""
+
+    def __init__(self, model, most: int = CACHE_WORDS) -> None:
+        self.model, self.merges, self.most, self.plain = model, model.model, most, is_plain(model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem, tail = stem_and_tail(word) if self.plain else (word, b"")
+        ids = self[stem] + self[tail] if tail else self.fresh(word)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def fresh(self, word: bytes) -> bytes:
+        """Composed small Latin letters pass normaliser and splitter as they are: only the merges are left to do."""
+        text = word.decode("utf-8")
+        if self.plain and word.isalpha() and word.islower():  # of bytes, these ask for a-z
+            ids = [t.id for t in self.merges.tokenize(text)]
+        elif self.plain and text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text):
+            ids = merged(self.merges, text)
+        else:
+            ids = self.model.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
 
 def encode(texts: Iterable[str], path: str, cache_words: int = CACHE_WORDS) -> Iterator[bytes]:
@@ -89,18 +115,9 @@ def encode(texts: Iterable[str], path: str, cache_words: int = CACHE_WORDS) -> I
     The tokenizer never joins characters across ASCII white space, so a text's ids are its words'
     ids in turn, and each distinct word is encoded once.
     """
-    (model, stems), known = tokenizer(path), {}
-    for some in batched(texts, 256):
-        lists = [folded(t) for t in some]
-        new = set().union(*lists).difference(known)
-        if len(known) + len(new) > cache_words:
-            known.clear()
-            new = set().union(*lists)
-        if len(stems) + len(new) > CACHE_STEMS:
-            stems.clear()
-        learn(list(new), model, known, stems)
-        for words in lists:
-            yield b"".join([known[w] for w in words])
+    known = Words(tokenizer(path), cache_words)
+    for text in texts:
+        yield b"".join([known[w] for w in (folded(text) if known.plain else text.encode("utf-8", "replace").split())])
 
 
 def cut(docs: DataFrame, tokenizer_path: str, sequence: int = 2048, end_id: int = 1) -> DataFrame:

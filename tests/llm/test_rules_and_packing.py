@@ -11,7 +11,7 @@ import pytest
 from helpers import ODD, documents, words
 from tokenizers import Tokenizer
 
-from corpusloom.llm.packing import encode, first_fit, pack_documents
+from corpusloom.llm.packing import encode, first_fit, is_plain, pack_documents
 from corpusloom.llm.quality_rules import quality_rules
 
 SPACE = "[ \t-\r]+"
@@ -101,3 +101,8 @@ def test_packing_is_whole(spark, group_rows):
 
 def test_packing_of_an_empty_table(spark):
     assert pack_documents(documents(spark, ["a"]).limit(0), PATH).count() == 0
+
+
+def test_short_ways_only_where_they_hold():
+    assert is_plain(Tokenizer.from_file(PATH))
+    assert not is_plain(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
