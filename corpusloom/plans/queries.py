@@ -26,7 +26,9 @@ DIRT = (("\ufeff", ""), ("\n", " \r\n\r\r\n\t\u00a0 "), (" ", "\u00a0\t"))
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    """A table. Texts in fewer partitions than there are cores, as a small file of one row group has them, are dealt out."""
+    rows, cores = spark.read.parquet(f"{d}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table == "documents" and rows.rdd.getNumPartitions() <= cores else rows
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
