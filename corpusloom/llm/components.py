@@ -8,7 +8,7 @@ are kept whole and no group's pairs are ever written out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,11 +23,24 @@ TILE = 1024
 CHUNK = 128
 
 
-def spanning_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (at most `most` differing bits) between rows of (n, words) uint64."""
+def differing_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y)
+
+
+def differing_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes of each word differ."""
+    z = x ^ y
+    z |= z >> np.uint64(4)
+    z |= z >> np.uint64(2)
+    z |= z >> np.uint64(1)
+    return np.bitwise_count(z & np.uint64(0x0101010101010101))
+
+
+def spanning_links(prints: np.ndarray, most: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = differing_bits) -> list[tuple[int, int]]:
+    """A spanning forest of the links (at most `most` differing bits, or as `apart` counts) between rows of (n, words) uint64."""
     n = len(prints)
     if n == 2:
-        return [(0, 1)] if int(np.bitwise_count(prints[0] ^ prints[1]).sum(dtype=np.int64)) <= most else []
+        return [(0, 1)] if int(apart(prints[0], prints[1]).sum(dtype=np.int64)) <= most else []
     free = np.ones(n, bool)
     out = []
     for start in range(n):
@@ -42,7 +55,7 @@ def spanning_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
                 break
             far = np.zeros((len(part), len(rest)), np.uint16)
             for k in range(prints.shape[1]):
-                far += np.bitwise_count(prints[part, k][:, None] ^ prints[rest, k][None, :])
+                far += apart(prints[part, k][:, None], prints[rest, k][None, :])
             found = rest[(far <= most).any(axis=0)]
             free[found] = False
             out += [(start, int(x)) for x in found]
@@ -50,8 +63,8 @@ def spanning_links(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(keys: DataFrame, most: int, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between nodes that share a key and differ in at most `most` bits.
+def links(keys: DataFrame, most: int, tile: int = TILE, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = differing_bits) -> DataFrame:
+    """Links (a, b) between nodes that share a key and differ in at most `most` bits, or as `apart` counts.
 
     keys: (kind int, key long, node long, print binary), a row for each key of a node; nodes are
     distinct, and print is a whole number of 64-bit words.
@@ -74,7 +87,7 @@ def links(keys: DataFrame, most: int, tile: int = TILE) -> DataFrame:
                     # from the smallest node on: groups that share their nodes then give the same links
                     order = np.argsort(nodes)
                     nodes, words = np.asarray(nodes)[order], words[order]
-                    for x, y in spanning_links(words, most):
+                    for x, y in spanning_links(words, most, apart):
                         a.append(nodes[x])
                         b.append(nodes[y])
             yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})

@@ -112,3 +112,40 @@ def test_spanning_links_of_wide_prints():
     x = np.random.default_rng(0).integers(0, 2**63, (5, 8), dtype=np.uint64)
     x[3] = x[1] ^ np.uint64(1)
     assert S.PRINT_WORDS == 8 and K.spanning_links(x, 8) == [(1, 3)]
+
+
+def grams(text: str) -> set:
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def passage_pairs(rng, n, sizes):
+    """Pairs of a text and its copy with a passage appended, inserted or cut, in turn."""
+    out = []
+    for i in range(n):
+        base = words(rng, rng.randrange(60, 400), 50_000)
+        size = int(len(base) * rng.uniform(*sizes))
+        at = rng.randrange(len(base) - size)
+        fresh = words(rng, size, 50_000)
+        other = [base + fresh, base[:at] + fresh + base[at:], base[:at] + base[at + size :]][i % 3]
+        out.append((" ".join(base), " ".join(other)))
+    return out
+
+
+def kept_pairs(spark, pairs):
+    """How many documents of each pair stay."""
+    texts = [t for pair in pairs for t in pair]
+    ids = {r.doc_id for r in S.near_dedup(documents(spark, texts)).collect()}
+    return [(2 * i in ids) + (2 * i + 1 in ids) for i in range(len(pairs))]
+
+
+def test_near_dedup_finds_added_and_cut_passages(spark):
+    pairs = passage_pairs(random.Random(12), 600, (0.05, 0.24))
+    left = kept_pairs(spark, pairs)
+    near = [n for n, (a, b) in zip(left, pairs, strict=True) if jaccard(a, b) >= 0.8]
+    assert len(near) > 300 and set(near) == {1}
