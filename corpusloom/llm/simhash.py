@@ -8,7 +8,8 @@ fingerprints are one node before any key is made, hot keys are tiled (see compon
 64-bit fingerprint differs in ten bits, too many for selective blocks, so candidates share a key of
 three smallest hashes of their shingles instead. Two smallest hashes are equal with the probability
 of the Jaccard similarity whatever the kind of change, so of 24 keys a pair at 0.8 misses all with a
-probability of 0.488^24 = 3e-8.
+probability of 0.488^24 = 3e-8. Candidates only make up clusters; within a cluster, links are pairs
+whose exact similarity reaches 0.8, and nothing goes without such a link.
 
 Defined results: a null or blank text has no shingles and the fingerprint zero (in `near_dedup` it
 is kept, as no copy of anything); fewer words than a shingle make one shingle; repeated rows are
@@ -19,6 +20,7 @@ empty table gives an empty result; further columns are ignored, or kept by `near
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,6 +36,8 @@ from corpusloom.llm.components import components, differing_bytes, links
 BANDS, BAND_ROWS = 24, 3
 #: 64-bit words of the sketch, which holds a byte of each of its smallest hashes.
 PRINT_WORDS = 8
+#: Documents and bytes of text in a tile of a cluster; two tiles at most are compared in a task.
+CLUSTER_ROWS, CLUSTER_BYTES = 512, 8 << 20
 #: Shingles whose bits are counted at once.
 STEP = 16_384
 
@@ -156,11 +160,65 @@ def signature(text: Column, width: int = 5) -> Column:
     return run(text)
 
 
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links (at least the given Jaccard similarity) between sets of distinct hashes."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, all_ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(all_ids, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(values), np.int64)
+    free = np.arange(len(sets))
+    out = []
+    while len(free):
+        start, free = int(free[0]), free[1:]
+        front = [start]
+        while front and len(free):
+            x = front.pop()
+            # sizes further apart than the similarity allows need no look
+            fit = free[np.minimum(sizes[free], sizes[x]) >= similarity * np.maximum(sizes[free], sizes[x]) - 1e-9]
+            if not len(fit):
+                continue
+            mark[ids[x]] = 1
+            both = np.add.reduceat(mark[np.concatenate([ids[y] for y in fit])], np.cumsum(sizes[fit]) - sizes[fit])
+            mark[ids[x]] = 0
+            found = fit[both >= similarity * (sizes[fit] + sizes[x] - both) - 1e-9]
+            out += [(x, int(y)) for y in found]
+            front += found.tolist()
+            free = free[~np.isin(free, found)]
+    return out
+
+
+def alike(members: DataFrame, width: int, similarity: float, tile_rows: int = CLUSTER_ROWS) -> DataFrame:
+    """Links (a, b) between the nodes of a cluster that are similar: spanning, and exact by their shingles.
+
+    members: (cluster long, node long, text string), a row for each node.
+    """
+    sizes = members.groupBy("cluster").agg(F.greatest(F.count("*") / tile_rows, F.sum(F.octet_length("text")) / CLUSTER_BYTES).alias("size"))
+    met = members.join(sizes, "cluster").withColumn("tiles", F.ceil("size").cast("int")).drop("size")
+    met = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    groups = met.groupBy("cluster", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")
+    )
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = [], []
+            for nodes, texts in zip(batch["nodes"], batch["texts"], strict=True):
+                if len(nodes) > 1:
+                    sets = [np.unique(shingle_hashes(t.encode("utf-8", "replace").lower().split(), width)) for t in texts]
+                    for x, y in similar_links(sets, similarity):
+                        a.append(nodes[x])
+                        b.append(nodes[y])
+            yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+
+    return groups.select("nodes", "texts").mapInPandas(find, "a long, b long").distinct()
+
+
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 6.0) -> DataFrame:
     """`docs` with one document, the one of the smallest id, of each group of near copies.
 
-    Documents link whose sketches differ in no more bytes than expected at the given Jaccard
-    similarity, plus `slack` standard deviations.
+    Documents link whose shingles have at least the given Jaccard similarity. Clusters are made of
+    candidates whose sketches differ in no more bytes than expected at it, plus `slack` standard deviations.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     uid, mark = unused(docs, "_uid"), unused(docs, "_signature")
@@ -172,7 +230,10 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack:
     size = 8 * PRINT_WORDS
     most = round(size * (1 - similarity) + slack * math.sqrt(size * similarity * (1 - similarity)))
     keys = nodes.select("node", "print", F.posexplode("blocks").alias("kind", "key"))
-    roots = components(links(keys, most, apart=differing_bytes), scratch)
+    clusters = components(links(keys, most, apart=differing_bytes), scratch)
+    first = table.join(clusters, "node").groupBy("node", F.col("root").alias("cluster")).agg(F.min("uid").alias("uid"))
+    members = rows.join(first, rows[uid] == first["uid"]).select("cluster", "node", F.col("text").cast("string").alias("text"))
+    roots = components(alike(scratch.keep(members), width, similarity), scratch)
     grouped = table.select("uid", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     stays = grouped.groupBy("root").agg(F.min(rank).getField("uid").alias("uid"))

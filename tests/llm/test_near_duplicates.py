@@ -149,3 +149,33 @@ def test_near_dedup_finds_added_and_cut_passages(spark):
     left = kept_pairs(spark, pairs)
     near = [n for n, (a, b) in zip(left, pairs, strict=True) if jaccard(a, b) >= 0.8]
     assert len(near) > 300 and set(near) == {1}
+
+
+def revised_pairs(rng, n):
+    """Pairs of a text and its copy with scattered words changed."""
+    out = []
+    for _ in range(n):
+        base = words(rng, rng.randrange(100, 400), 50_000)
+        other = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.01, 0.06)))):
+            other[at] = "changed"
+        out.append((" ".join(base), " ".join(other)))
+    return out
+
+
+def test_near_dedup_keeps_what_is_less_similar(spark):
+    pairs = revised_pairs(random.Random(13), 600)
+    left = kept_pairs(spark, pairs)
+    similar = [jaccard(a, b) for a, b in pairs]
+    assert sum(0.7 <= j < 0.8 for j in similar) > 80 and sum(j >= 0.8 for j in similar) > 80
+    assert left == [1 if j >= 0.8 else 2 for j in similar]
+
+
+@pytest.mark.parametrize("tile", [4, 512])
+def test_links_within_a_cluster_by_brute_force(spark, tile):
+    rng = random.Random(14)
+    base = words(rng, 120, 50_000)
+    texts = [" ".join(base[i * 4 : i * 4 + 80]) for i in range(10)] + [t for pair in revised_pairs(rng, 8) for t in pair]
+    table = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "cluster bigint, node bigint, text string")
+    root = {r.node: r.root for r in K.components(S.alike(table, 5, 0.8, tile), Scratch(spark, "test")).collect()}
+    assert [root.get(i, i) for i in range(len(texts))] == roots(len(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
