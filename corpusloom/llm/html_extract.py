@@ -48,6 +48,8 @@ _MARKS = frozenset(
 _ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsor sponsored promo related recommended comment comments respond reply replies teaser".split())
 _SHUTS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements whose end tags may be left out.
+_UNCLOSED = frozenset(("p", *_SAME))
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
@@ -86,6 +88,7 @@ def parse(source: str) -> Node:
     """The tree of a page without its boilerplate elements."""
     root = at = Node("body", None)
     place, skip, deep = 0, "", 0  # skip: the boilerplate element being left out; deep: how many of its name are open in it
+    inner: list[str] = []  # the tags open in it, from its own on, where its end may be implied
     articles = 0
     n, find = len(source), _TOKEN.search
     lower = None
@@ -108,14 +111,32 @@ def parse(source: str) -> Node:
             end = lower.find(f"</{tag}", place)
             place = n if end < 0 else (source.find(">", end) + 1 or n)
             continue
-        if skip:
+        if skip in _UNCLOSED:
+            if closing:
+                to = _closed(inner, tag)
+                if to >= 0:
+                    del inner[to:]
+                    skip = skip if inner else ""
+                    continue
+                if tag not in _BLOCK or tag == "p" or not _open(at, tag):
+                    continue
+                skip = ""  # it ends with what it stands in
+            else:
+                to = 0 if tag in ("article", "main") and skip in ("p", "li") else _implied(inner, tag)
+                if to:
+                    del inner[to:]
+                    if tag not in _VOID and not (m[3].endswith("/") and tag not in _BLOCK):
+                        inner.append(tag)
+                    continue
+                skip = ""
+        elif skip:
             if tag == skip:
                 deep += -1 if closing else 1
                 if not deep:
                     skip = ""
             elif closing and tag in ("article", "main", "body", "html") and _open(at, tag):
                 skip, deep = "", 0
-            elif not closing and tag in ("article", "main") and skip in ("p", "span", "a", "li"):
+            elif not closing and tag in ("article", "main") and skip in ("span", "a"):
                 skip, deep = "", 0
             if skip or tag == "body":
                 continue
@@ -154,7 +175,7 @@ def parse(source: str) -> Node:
             continue
         if _marked(tag, m[3], bool(articles) or _open(at, "main") is not None):
             if not m[3].endswith("/"):
-                skip, deep = tag, 1
+                skip, deep, inner = tag, 1, [tag]
             continue
         node = Node(tag, at)
         at.items.append(node)
@@ -165,6 +186,36 @@ def parse(source: str) -> Node:
     return root
 
 
+def _closed(inner: list[str], tag: str) -> int:
+    """Where an end tag cuts a list of open tags; -1 if nowhere."""
+    for i in range(len(inner) - 1, -1, -1):
+        if inner[i] == tag:
+            return i
+        if tag not in _BLOCK and inner[i] in _BLOCK:
+            return -1
+    return -1
+
+
+def _implied(inner: list[str], tag: str) -> int:
+    """Where a start tag cuts a list of open tags, as it does the tree's; its length if nowhere."""
+    cut = len(inner)
+    if tag in _SHUTS_P:
+        for i in range(len(inner) - 1, -1, -1):
+            if inner[i] == "p":
+                return i
+            if inner[i] in _BLOCK or inner[i] in ("td", "th"):
+                break
+    elif tag in _SAME:
+        for i in range(len(inner) - 1, -1, -1):
+            if inner[i] in _HOLDS[tag]:
+                break
+            if inner[i] in _SAME[tag]:
+                cut = i
+                if tag != "tr":
+                    break
+    return cut
+
+
 def _open(at: Node | None, tag: str) -> Node | None:
     while at is not None and at.tag != tag:
         at = at.up

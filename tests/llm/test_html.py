@@ -36,3 +36,19 @@ def test_articles_within_an_article():
     page = """<main><article><div class="entry-header"><h1>Title</h1></div><p>The text of the story.</p></article>
     <section><article class="comment"><p>A reader's long remark about the story and much else besides.</p></article></section></main>"""
     assert extract(page) == "Title\n\nThe text of the story."
+
+
+def test_boilerplate_without_end_tags():
+    story = "The first part of the story is told here at length."
+    for page, want in (
+        (f'<article><p class="notice">Mind this.<p>{story}<p>Then more.</article>', [story, "Then more."]),
+        (f'<p class="notice">Mind this.<p>{story}</p><p>Then more.</p>', [story, "Then more."]),
+        (f'<article><p class="notice">Mind <b>this</b>.<h2>Head</h2><p>{story}</p></article>', ["Head", story]),
+        (f'<article><ul><li class="share">Share<ul><li>a</li><li>b</ul><li>{story}</ul><p>Then more.</p></article>', [story, "Then more."]),
+        (f'<article><div><ul><li class="share">Share</ul></div><p>{story}</p></article>', [story]),
+        (f'<article><dl><dt class="share">Share<dd>{story}</dl></article>', [story]),
+        (f'<article><table><tr><td class="share">Share<p>it<td>{story}<tr><td>Then more.</table></article>', [story, "Then more."]),
+        (f'<article><table><tr class="share"><td>Share<table><tr><td>x<tr><td>y</table><tr><td>{story}</table></article>', [story]),
+        (f'<article><p class="notice">Mind this.</p><p>{story}</p></article>', [story]),
+    ):
+        assert [t for t in extract(page).split("\n\n") if t] == want, page
