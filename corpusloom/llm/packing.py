@@ -17,7 +17,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import batched
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -54,10 +54,11 @@ def stem_and_tail(word: bytes) -> tuple[bytes, bytes]:
     """A word without the ASCII marks at its end, and those marks.
 
     The tokenizer always splits between a letter or digit and such a mark, so both have their own
-    ids. Anything less plain is left in one piece.
+    ids. Anything less plain is left in one piece, also a letter that ends in a combining mark once
+    it is folded and composed, such as a capital I with a dot.
     """
     stem = word.rstrip(MARKS)
-    if stem and len(stem) < len(word) and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode("utf-8")[-1].isalpha()):
+    if stem and len(stem) < len(word) and (stem[-1:].isalnum() if stem[-1] < 128 else normalize("NFC", normalize("NFC", stem.decode("utf-8")[-1]).lower())[-1].isalpha()):
         return stem, word[len(stem) :]
     return word, b""
 

@@ -106,3 +106,10 @@ def test_packing_of_an_empty_table(spark):
 def test_short_ways_only_where_they_hold():
     assert is_plain(Tokenizer.from_file(PATH))
     assert not is_plain(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_marks_after_letters_that_come_apart():
+    texts = ["GAZETESİ.", "İ? İ* İ: İİ.", "क़. कक़! aक़|", "ÜÇ. ÉTÉ? straße! Å. ǅ, ﬁ."]
+    model = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, encode(texts, PATH), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
