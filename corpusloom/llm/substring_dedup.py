@@ -7,15 +7,16 @@ set of passages that one anchor brings together, and passages travel to their sh
 1. Each window's anchor is the smallest hash of its 8-word runs (winnowing): equal windows have
    equal anchors, and about one place in 22 is an anchor. Windows whose anchor occurs in one
    document only cannot repeat and are done.
-2. The windows of a shared anchor, taken together, are a segment. Equal segments become one row with
-   the smallest id. A shard's distinct segments, in order of id, are put into one suffix automaton,
-   whose states remember the smallest id; streaming a segment through it gives, for each window, the
-   smallest id in which the window occurs.
+2. The windows of a shared anchor, taken together, are a segment, of whole words. Equal segments
+   become one row with the smallest id. A shard's distinct segments, in order of id, are put into
+   suffix automata of a bounded number of segments, whose states remember the smallest id; streaming
+   a segment through them gives, for each window, the smallest id in which the window occurs.
 3. The spans so found go back to their documents, whose texts are shuffled once.
 
-Exact copies are decided by a hash of the whole text. A shard of very many segments looks its windows
-up by their 128-bit hashes instead of building an automaton, and the windows of an anchor that a vast
-number of documents share are dealt out by those hashes, so no group gathers in one task.
+Exact copies are decided by a 128-bit hash of the whole text. The windows of an anchor with a vast
+number of segments are segments of their own, dealt out by their 128-bit hashes: equal ones meet
+there before any shuffle, and a segment of one window has nothing for an automaton to find. So no
+group gathers in one task, and words are compared whole or in hashes of 128 bits.
 
 Defined results: a null or short text loses nothing; words within one text never count against each
 other; rows of the same id don't either; a row without an id loses what a row with an id has, and
@@ -38,14 +39,12 @@ from corpusloom.llm.common import Scratch, unused
 
 #: Words in a run whose hash may be an anchor; a power of two.
 RUN = 8
-#: Documents from which on an anchor's windows are dealt out by their own hash.
-HOT = 20_000
-#: Distinct segments up to which a shard is an automaton; a larger one compares window by window.
-AUTOMATON = 1000
+#: Segments from which on an anchor's windows are dealt out by their own hash.
+HOT = 2000
+#: Distinct segments in an automaton at most; a shard takes as many automata as it needs.
+AUTOMATON = 500
 #: Windows in a segment at most.
 LONGEST = 256
-#: Keys from here on belong to rows without an id.
-NO_ID = 2**62
 #: Distinct words whose hashes a task remembers.
 CACHE_WORDS = 500_000
 
@@ -167,230 +166,243 @@ class Automaton:
         return out
 
 
-def key_of(doc_id, text):
-    """Rows without an id get keys of their own behind all ids, equal for equal texts."""
-    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 3))
+def identified(docs: DataFrame, name: str = "who") -> DataFrame:
+    """`docs` with a column struct<deal, id, anon>.
+
+    deal: a hash of id and text by which rows are dealt and joined; what it joins is compared by id
+    and text id again. Rows without text are dealt by their place: they have nothing to join.
+    """
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    deal = F.when(text.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(doc_id, text))
+    return docs.withColumn(name, F.struct(deal.alias("deal"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("anon")))
+
+
+def text_id(raw: bytes) -> tuple[int, int]:
+    """128 bits of a text as two signed longs."""
+    digest = xxhash.xxh3_128_digest(raw)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def text_id(text: str | None) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace") if text else b"")).view(np.int64))
+_WHO = ["deal", "id", "anon", "t1", "t2"]
 
 
 def survey(rows: DataFrame, window: int) -> DataFrame:
-    """(key, tid, n_words, anchors): of each row with a window, its distinct anchors."""
+    """(deal, id, anon, t1, t2, n_words, anchors): of each row with a window, the anchors of its segments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for b in batches:
             out = []
-            for key, text in zip(b["key"], b["text"], strict=True):
-                words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
+            for deal, own, anon, text in zip(b["deal"], b["id"], b["anon"], b["text"], strict=True):
+                raw = text.encode("utf-8", "replace") if isinstance(text, str) else b""
+                words = raw.split()
                 if len(words) >= window:
-                    out.append((key, text_id(text), len(words), np.unique(anchors(word_hashes(words, known), window))))
-            yield pd.DataFrame(out, columns=["key", "tid", "n_words", "anchors"])
+                    a = anchors(word_hashes(words, known), window)
+                    out.append((deal, own, anon, *text_id(raw), len(words), a[stretches(a)[0]]))
+            yield pd.DataFrame(out, columns=[*_WHO, "n_words", "anchors"])
 
-    return rows.select("key", "text").mapInPandas(run, "key long, tid long, n_words long, anchors array<long>")
+    return rows.mapInPandas(run, "deal long, id long, anon boolean, t1 long, t2 long, n_words long, anchors array<long>")
 
 
 def segments(rows: DataFrame, window: int) -> DataFrame:
-    """(key, tid, start, route, seg, words): the segments of (key, text, shared, hot)."""
+    """(deal, id, anon, t1, t2, start, alone, route, seg, words): the segments of (who, text, shared, hot).
+
+    alone: a single window of a hot anchor, whose words are not carried.
+    """
+    columns = [*_WHO, "start", "alone", "route", "seg", "words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for b in batches:
-            keys, tids, at, routes, segs, blobs = [], [], [], [], [], []
-            for key, tid, text, shared, hot in zip(b["key"], b["tid"], b["text"], b["shared"], b["hot"], strict=True):
+            out: list[tuple] = []
+            for deal, own, anon, first, second, text, shared, hot in zip(*[b[c] for c in [*_WHO, "text", "shared", "hot"]], strict=True):
                 if shared is None or not len(shared) or not isinstance(text, str):
                     continue
-                words = text.encode("utf-8", "replace").split()
-                if len(words) < window or (own := text_id(text)) != tid:
+                raw = text.encode("utf-8", "replace")
+                words = raw.split()
+                if len(words) < window or text_id(raw) != (first, second):
                     continue
-                h = word_hashes(words, known)
-                a = anchors(h, window)
+                who = (deal, own, anon, first, second)
+                a = anchors(word_hashes(words, known), window)
                 starts, ends = stretches(a)
                 mine = a[starts]
                 keep = np.isin(mine, shared)
-                if not keep.any():
-                    continue
                 starts, ends, mine = starts[keep], ends[keep], mine[keep]
                 apart = np.isin(mine, hot) if hot is not None and len(hot) else np.zeros(len(mine), bool)
-                raw = h.astype(np.uint32).tobytes()
                 for s, e, x, alone in zip(starts.tolist(), ends.tolist(), mine.tolist(), apart.tolist(), strict=True):
                     if alone:
                         for i in range(s, e):
-                            digest = xxhash.xxh3_128_digest(raw[4 * i : 4 * (i + window)])
-                            at.append(i)
-                            routes.append(int.from_bytes(digest[:8], "little", signed=True))
-                            segs.append(digest)
-                            blobs.append(digest)
+                            out.append((*who, i, True, 0, xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), b""))
                     else:
-                        blob = raw[4 * s : 4 * (e + window - 1)]
-                        at.append(s)
-                        routes.append(x)
-                        segs.append(xxhash.xxh3_128_digest(blob))
-                        blobs.append(blob)
-                keys += [key] * (len(at) - len(keys))
-                tids += [own] * (len(at) - len(tids))
-                if len(at) > 20_000:
-                    yield pd.DataFrame({"key": keys, "tid": tids, "start": at, "route": routes, "seg": segs, "words": blobs})
-                    keys, tids, at, routes, segs, blobs = [], [], [], [], [], []
-            yield pd.DataFrame({"key": keys, "tid": tids, "start": at, "route": routes, "seg": segs, "words": blobs})
-
-    return rows.mapInPandas(run, "key long, tid long, start int, route long, seg binary, words binary")
-
-
-def first_documents(distinct: DataFrame, window: int) -> DataFrame:
-    """(seg, runs): for each distinct segment the runs of windows (from, to) and their smallest key.
-
-    distinct: (route, words, first, n). A partition is sorted by route and key, and one shard after
-    another is turned into an automaton; a shard of one segment needs none.
+                        blob = b" ".join(words[s : e + window - 1])
+                        out.append((*who, s, False, x, xxhash.xxh3_128_digest(blob), blob))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows.mapInPandas(run, "deal long, id long, anon boolean, t1 long, t2 long, start int, alone boolean, route long, seg binary, words binary")
+
+
+def first_documents(distinct: DataFrame, window: int, automaton: int = AUTOMATON) -> DataFrame:
+    """(seg, runs): for each distinct segment the runs of windows (from, to) and their smallest id.
+
+    distinct: (route, words, first, owned, n); first counts where owned is true. A partition is sorted
+    by route and id, and one shard after another is turned into automata; a shard of one segment
+    needs none.
     """
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) == 1 or len(rows[0][0]) < 4 * window:  # the digests of windows stand for themselves
-            for words, first, n in rows:
-                if n > 1:
-                    size = max(1, len(words) // 4 - window + 1)
-                    yield (words if len(words) < 4 * window else xxhash.xxh3_128_digest(words)), [{"f": 0, "t": size, "m": first}]
+        if len(rows) == 1:
+            words, first, owned, n = rows[0]
+            if n > 1 and owned:
+                yield xxhash.xxh3_128_digest(words), [{"f": 0, "t": words.count(b" ") + 2 - window, "m": first}]
             return
-        if len(rows) <= AUTOMATON:
-            automaton, sequences = Automaton(), [np.frombuffer(words, np.uint32).tolist() for words, _, _ in rows]
-            for sequence, (_, first, _) in zip(sequences, rows, strict=True):
-                automaton.add(sequence, first)
-            firsts = (automaton.first_keys(sequence, window) for sequence in sequences)
-        else:  # an automaton would outgrow the task; sorted digests of windows take a few bytes each
-            sizes = [len(words) // 4 - window + 1 for words, _, _ in rows]
-            digests = b"".join(xxhash.xxh3_128_digest(words[i : i + 4 * window]) for words, _, _ in rows for i in range(0, len(words) - 4 * window + 1, 4))
-            _, place, window_of = np.unique(np.frombuffer(digests, "S16"), return_index=True, return_inverse=True)
-            owners = np.repeat(np.array([first for _, first, _ in rows], np.int64), sizes)
-            firsts = (x.tolist() for x in np.split(owners[place[window_of]], np.cumsum(sizes)[:-1]))  # rows ascend by key
-        for (words, first, n), keys in zip(rows, firsts, strict=True):
+        codes: dict[bytes, int] = {}
+        sequences = [[codes.setdefault(w, len(codes)) for w in words.split(b" ")] for words, _, _, _ in rows]
+        least: list[list] = [[None] * (len(x) - window + 1) for x in sequences]
+        sources = [(x, first) for x, (_, first, owned, _) in zip(sequences, rows, strict=True) if owned]
+        for at in range(0, len(sources), automaton):  # ids ascend, so what an earlier automaton finds stays
+            built = Automaton()
+            for sequence, first in sources[at : at + automaton]:
+                built.add(sequence, first)
+            for i, sequence in enumerate(sequences):
+                if None in least[i]:
+                    least[i] = [new if old is None else old for old, new in zip(least[i], built.first_keys(sequence, window), strict=True)]
+        for (words, first, owned, n), keys in zip(rows, least, strict=True):
             runs: list[dict] = []
             for i, m in enumerate(keys):
-                if runs and runs[-1]["m"] == m:
-                    runs[-1]["t"] = i + 1
-                else:
-                    runs.append({"f": i, "t": i + 1, "m": m})
-            if n > 1 or any(r["m"] != first for r in runs):
+                if m is not None:
+                    if runs and runs[-1]["m"] == m and runs[-1]["t"] == i:
+                        runs[-1]["t"] = i + 1
+                    else:
+                        runs.append({"f": i, "t": i + 1, "m": m})
+            if runs and (n > 1 or not owned or any(r["m"] != first for r in runs)):
                 yield xxhash.xxh3_128_digest(words), runs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         route, rows, out = None, [], []
         for b in batches:
-            for r, words, first, n in zip(b["route"].tolist(), b["words"], b["first"].tolist(), b["n"].tolist(), strict=True):
+            for r, words, first, owned, n in zip(b["route"].tolist(), b["words"], b["first"].tolist(), b["owned"].tolist(), b["n"].tolist(), strict=True):
                 if r != route:
                     if rows:
                         out += shard(rows)
                     route, rows = r, []
-                rows.append((words, first, n))
+                rows.append((bytes(words), first, owned, n))
             yield pd.DataFrame(out, columns=["seg", "runs"])
             out = []
         if rows:
             out += shard(rows)
         yield pd.DataFrame(out, columns=["seg", "runs"])
 
-    dealt = distinct.repartition("route").sortWithinPartitions("route", F.length("words") < 4 * window, "first", "words")
+    dealt = distinct.repartition("route").sortWithinPartitions("route", "first", "words")
     return dealt.mapInPandas(run, "seg binary, runs array<struct<f:int,t:int,m:long>>")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """`docs` dealt by the column `key`, and (key, spans): the words to remove of each key's texts."""
-    texts = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50, who: str = "who", hot: int = HOT, automaton: int = AUTOMATON) -> tuple[DataFrame, DataFrame]:
+    """`docs` dealt by its column `who` (see identified), and (deal, spans): the words to remove of the rows dealt so."""
+    own = F.when(~F.col("anon"), F.col("id"))
+    span = [F.col("id"), F.col("anon").cast("int").alias("anon"), F.col("t1"), F.col("t2")]
+    texts = docs.select(f"{who}.deal", f"{who}.id", f"{who}.anon", F.col("text").cast("string").alias("text"))
     surveyed = scratch.keep(survey(texts, window))
-    whole = surveyed.groupBy("tid").agg(F.min("key").alias("owner"))
-    owned = surveyed.join(whole, "tid")
-    copies = owned.where(f"key > owner and owner < {NO_ID}").select("key", F.struct("tid", F.lit(0).alias("a"), F.col("n_words").cast("int").alias("b")).alias("span"))
-    single = owned.where("key = owner").dropDuplicates(["key", "tid"])
-    places = single.select("key", "tid", F.explode("anchors").alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    met = places.join(shared.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
-    flagged = scratch.keep(
-        met.groupBy("key", "tid").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    )
-    dealt = docs.repartition(key)
-    met = dealt.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).join(flagged, "key", "left").withColumn("tid", F.coalesce("tid", F.lit(0)))  # nulls would turn longs into doubles
-    parts = segments(met, window)
-    distinct = parts.groupBy("route", "words").agg(F.min("key").alias("first"), F.count("*").alias("n"))
-    found = first_documents(distinct, window)
-    spans = parts.select("key", "tid", "start", "seg").join(found, "seg").select("key", "tid", "start", F.explode("runs").alias("r"))
-    spans = spans.where(f"r.m < key and r.m < {NO_ID}")
-    spans = spans.select("key", F.struct("tid", (F.col("start") + F.col("r.f")).alias("a"), (F.col("start") + F.col("r.t") + (window - 1)).alias("b")).alias("span"))
-    return dealt, spans.union(copies).groupBy("key").agg(F.collect_set("span").alias("spans"))
-
-
-def cut_out(words: list, tid: int, spans) -> list:
-    """`words` without the spans (text, from, to) of this text."""
+    whole = surveyed.groupBy("t1", "t2").agg(F.min(own).alias("owner"))
+    owned = surveyed.join(whole, ["t1", "t2"])
+    copies = owned.where("owner is not null and (anon or id > owner)").select("deal", F.struct(*span, F.lit(0).alias("a"), F.col("n_words").cast("int").alias("b")).alias("span"))
+    single = owned.where((F.col("owner").isNull() & F.col("anon")) | (own == F.col("owner"))).dropDuplicates(_WHO)
+    places = single.select("deal", "id", "anon", F.explode("anchors").alias("anchor"))
+    # an anchor of one id alone, or of rows without an id alone, has nothing to take from another
+    shared = places.groupBy("anchor").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("anon").alias("some"), F.count("*").alias("n")).where("lo < hi or (lo is not null and some)")
+    met = places.join(shared.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
+    flags = met.groupBy("deal", "id", "anon").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    flagged = scratch.keep(single.select(*_WHO).join(flags, ["deal", "id", "anon"]))
+    dealt = docs.repartition(F.col(f"{who}.deal"))
+    met = dealt.select(F.col(f"{who}.deal").alias("at"), F.col(f"{who}.id").alias("at_id"), F.col(f"{who}.anon").alias("at_anon"), F.col("text").cast("string").alias("text"))
+    met = met.join(flagged, (F.col("at") == F.col("deal")) & (F.col("at_id") == F.col("id")) & (F.col("at_anon") == F.col("anon")))
+    parts = scratch.keep(segments(met.select(*_WHO, "text", "shared", "hot"), window))  # two readers, and made by Python
+    groups = parts.where("not alone").groupBy("route", "words").agg(F.min(own).alias("first"), F.count("*").alias("n"))
+    groups = groups.select("route", "words", F.coalesce("first", F.lit(0)).alias("first"), F.col("first").isNotNull().alias("owned"), "n")
+    found = first_documents(groups, window, automaton)
+    windows = parts.where("alone").groupBy("seg").agg(F.min(own).alias("m"), F.count("*").alias("n")).where("m is not null and n > 1")
+    found = found.union(windows.select("seg", F.array(F.struct(F.lit(0).alias("f"), F.lit(1).alias("t"), "m")).alias("runs")))
+    spans = parts.select(*_WHO, "start", "seg").join(found, "seg").select(*_WHO, "start", F.explode("runs").alias("r")).where("anon or r.m < id")
+    spans = spans.select("deal", F.struct(*span, (F.col("start") + F.col("r.f")).alias("a"), (F.col("start") + F.col("r.t") + (window - 1)).alias("b")).alias("span"))
+    return dealt, spans.union(copies).groupBy("deal").agg(F.collect_set("span").alias("spans"))
+
+
+def cut_out(words: list, me: tuple, spans) -> list:
+    """`words` without the spans (id, anon, t1, t2, from, to) of this text."""
     gone = np.zeros(len(words) + 1, np.int64)
-    for own, a, b in spans:
-        if own == tid:
+    for *own, a, b in spans:
+        if tuple(own) == me:
             gone[a] += 1
             gone[min(b, len(words))] -= 1
     return [w for w, k in zip(words, np.cumsum(gone).tolist(), strict=False) if not k]
 
 
-def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row of `docs` (doc_id, text)."""
-    return _apply(docs, window, "kept_text", False)
+    return _apply(docs, window, "kept_text", False, **options)
 
 
-def substring_digests(docs: DataFrame, window: int = 50) -> DataFrame:
+def substring_digests(docs: DataFrame, window: int = 50, **options) -> DataFrame:
     """As substring_dedup, with the SHA-256 of the kept text in its place."""
-    return _apply(docs, window, "kept_sha256", True)
+    return _apply(docs, window, "kept_sha256", True, **options)
 
 
-def substring_filter(docs: DataFrame, window: int = 50) -> DataFrame:
+def substring_filter(docs: DataFrame, window: int = 50, **options) -> DataFrame:
     """`docs` with the repeated passages cut out of its texts.
 
     What is left keeps its white space: a text loses each removed run of words with the space behind
     it. A text left without a word goes with its row; one that loses nothing stays as it is. A column
     n_chars is brought up to date.
     """
-    key = unused(docs, "_key")
-    keyed = docs.withColumn(key, key_of(F.col("doc_id"), F.col("text").cast("string")))
-    dealt, spans = repeated_spans(keyed, Scratch(docs.sparkSession, "substrings"), window, key)
+    who = unused(docs, "_who")
+    dealt, spans = repeated_spans(identified(docs, who), Scratch(docs.sparkSession, "substrings"), window, who, **options)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, ids: pd.Series, anons: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for text, marks in zip(texts, found, strict=True):
+        for text, own, anon, marks in zip(texts, ids, anons, found, strict=True):
             if marks is not None and isinstance(text, str):
                 raw = text.encode("utf-8", "replace")
                 parts = _PARTS.findall(raw)  # each word with the space behind it
                 lead = raw[: len(raw) - sum(map(len, parts))]
-                left = cut_out(parts, text_id(text), marks)
+                left = cut_out(parts, (own, int(anon), *text_id(raw)), marks)
                 if len(left) < len(parts):
                     text = (lead + b"".join(left)).decode("utf-8") if left else None
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    spans = spans.select(F.col("key").alias(f"{key}_"), _flat("spans").alias(f"{key}s"))
-    joined = dealt.join(spans, F.col(key) == F.col(f"{key}_"), "left")
-    gone = f"{key}t"
-    joined = joined.withColumn(gone, F.when(F.col(f"{key}s").isNotNull(), cut(F.col("text").cast("string"), F.col(f"{key}s"))).otherwise(F.col("text").cast("string")))
-    kept = joined.where(F.col(f"{key}s").isNull() | F.col(gone).isNotNull()).withColumn("text", F.col(gone))
+    at, found, left = f"{who}d", f"{who}s", f"{who}t"
+    spans = spans.select(F.col("deal").alias(at), _flat("spans").alias(found))
+    joined = dealt.join(spans, F.col(f"{who}.deal") == F.col(at), "left")
+    text = F.col("text").cast("string")
+    joined = joined.withColumn(left, F.when(F.col(found).isNotNull(), cut(text, F.col(f"{who}.id"), F.col(f"{who}.anon"), F.col(found))).otherwise(text))
+    kept = joined.where(F.col(found).isNull() | F.col(left).isNotNull()).withColumn("text", F.col(left))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col(f"{key}s").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _flat(column: str) -> Column:
-    return F.transform(column, lambda s: F.array(s["tid"], s["a"].cast("long"), s["b"].cast("long")))
+    return F.transform(column, lambda s: F.array(s["id"], s["anon"].cast("long"), s["t1"], s["t2"], s["a"].cast("long"), s["b"].cast("long")))
 
 
-def _apply(docs: DataFrame, window: int, kept: str, digest: bool) -> DataFrame:
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = keyed.withColumn("key", key_of(F.col("doc_id"), F.col("text"))).select("key", "doc_id", "text")
-    dealt, spans = repeated_spans(keyed, Scratch(docs.sparkSession, "substrings"), window)
+def _apply(docs: DataFrame, window: int, kept: str, digest: bool, **options) -> DataFrame:
+    rows = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    dealt, spans = repeated_spans(rows, Scratch(docs.sparkSession, "substrings"), window, **options)
     kind = f"struct<n_words:long,n_removed:long,{kept}:string>"
 
     @F.pandas_udf(kind)
-    def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, ids: pd.Series, anons: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
-        for text, marks in zip(texts, found, strict=True):
-            words = text.encode("utf-8", "replace").split() if isinstance(text, str) else []
-            left = words if marks is None else cut_out(words, text_id(text), marks)
+        for text, own, anon, marks in zip(texts, ids, anons, found, strict=True):
+            raw = text.encode("utf-8", "replace") if isinstance(text, str) else b""
+            words = raw.split()
+            left = words if marks is None else cut_out(words, (own, int(anon), *text_id(raw)), marks)
             line = b" ".join(left)
             out.append((len(words), len(words) - len(left), hashlib.sha256(line).hexdigest() if digest else line.decode("utf-8")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", kept])
 
-    return dealt.join(spans, "key", "left").select("doc_id", cut("text", _flat("spans")).alias("c")).select("doc_id", "c.*")
+    joined = dealt.join(spans, F.col("who.deal") == F.col("deal"), "left")
+    return joined.select("doc_id", cut("text", F.col("who.id"), F.col("who.anon"), _flat("spans")).alias("c")).select("doc_id", "c.*")

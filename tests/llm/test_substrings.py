@@ -47,27 +47,60 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot, automaton", [(20_000, 2000), (3, 2000), (20_000, 2)])
-def test_by_brute_force(spark, monkeypatch, hot, automaton):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize("hot, automaton", [(S.HOT, S.AUTOMATON), (3, 500), (2000, 2), (0, 1), (8, 1)])
+def test_by_brute_force(spark, hot, automaton):
     texts = corpus(random.Random(9))
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
-    if automaton == 2000:
-        got = S.substring_digests(documents(spark, texts, ids)).collect()
-        assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute(texts, ids, 50)
-    else:  # the look-up of windows and the automaton agree
-        rng = random.Random(3)
-        parts = [[rng.randrange(4) for _ in range(rng.randrange(5, 30))] for _ in range(40)]
-        a = S.Automaton()
-        for k, p in enumerate(parts):
-            a.add(p, k)
-        seen: dict = {}
-        for k, p in enumerate(parts):
-            for i in range(len(p) - 4):
-                seen.setdefault(tuple(p[i : i + 5]), k)
-        for p in [*parts, [9, 0, 1, 2, 3, 0, 1, 9]]:
-            assert a.first_keys(p, 5) == [seen.get(tuple(p[i : i + 5])) for i in range(len(p) - 4)]
+    got = S.substring_digests(documents(spark, texts, ids), hot=hot, automaton=automaton).collect()
+    assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute(texts, ids, 50)
+
+
+def test_automaton_by_windows():
+    rng = random.Random(3)
+    parts = [[rng.randrange(4) for _ in range(rng.randrange(5, 30))] for _ in range(40)]
+    a = S.Automaton()
+    for k, p in enumerate(parts):
+        a.add(p, k)
+    seen: dict = {}
+    for k, p in enumerate(parts):
+        for i in range(len(p) - 4):
+            seen.setdefault(tuple(p[i : i + 5]), k)
+    for p in [*parts, [9, 0, 1, 2, 3, 0, 1, 9]]:
+        assert a.first_keys(p, 5) == [seen.get(tuple(p[i : i + 5])) for i in range(len(p) - 4)]
+
+
+@pytest.mark.parametrize("hot, automaton", [(2000, 500), (1, 1)])
+def test_extreme_ids(spark, hot, automaton):
+    rng = random.Random(17)
+    passage = " ".join(words(rng, 80, 5000))
+    texts = [passage, passage, "a " + passage, passage + " b", "c " + passage + " d", "e " + passage, passage]
+    ids = [2**62 + 5, 2**62 + 6, 2**63 - 1, 2**63 - 2, -(2**63), None, None]
+    got = S.substring_digests(documents(spark, texts, ids), hot=hot, automaton=automaton).collect()
+    assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute(texts, ids, 50)
+    two = S.substring_digests(documents(spark, [passage, passage], [2**62 + 5, 2**62 + 6])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in two) == [(2**62 + 5, 0), (2**62 + 6, 80)]
+
+
+def test_words_whose_hashes_nearly_collide(spark):
+    # the low 32 bits of the two words' hashes are equal
+    assert S._Hashes()[b"id45158"] & 0xFFFFFFFF == S._Hashes()[b"id75823"] & 0xFFFFFFFF
+    rng = random.Random(19)
+    texts = []
+    for _ in range(10):
+        w = words(rng, 49, 5000)
+        at = rng.randrange(50)
+        texts += [" ".join([*w[:at], x, *w[at:]]) for x in ("id45158", "id75823")]
+    assert all(r.n_removed == 0 for r in S.substring_digests(documents(spark, texts)).collect())
+
+
+def test_one_id_of_many_texts(spark):
+    rng = random.Random(23)
+    passage = " ".join(words(rng, 60, 5000))
+    texts = [f"{i} {passage} {i}" for i in range(30)] + [passage] * 5 + [None] * 5
+    ids = [7] * 30 + [8] * 5 + [None] * 5
+    got = S.substring_digests(documents(spark, texts, ids)).collect()
+    assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute(texts, ids, 50)
 
 
 def test_ids_null_and_repeated(spark):
