@@ -42,7 +42,8 @@ LEARNED, LEAST_DOCS, LEAST_ODDS = 1000, 3, 2.0
 _MARKS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _PLAIN = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 _UPPER = bytes(range(65, 91))
-_MIXED = re.compile(rb"[a-z]+[0-9@$!*_.\-]+[a-z][a-z0-9@$!*_.\-]*|[0-9@$]+[a-z]{2,}[a-z0-9@$!*_.\-]*")
+# a match starts where its run does, and no run is taken back: either alone leaves long runs quadratic
+_MIXED = re.compile(rb"(?<![a-z])[a-z]++[0-9@$!*_.\-]++[a-z][a-z0-9@$!*_.\-]*+|(?<![0-9@$])[0-9@$]++[a-z]{2}[a-z0-9@$!*_.\-]*+")
 _LEET = bytes.maketrans(b"01345$7@!", b"oieasstai")
 _SPELLED = re.compile(rb"\b(?:[a-z][ .\-_*]){3,}[a-z]\b")
 _LONG = re.compile(rb"([a-z])\1{2,}")

@@ -17,4 +17,4 @@ def words(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
 
 
 #: Texts that every operator must bear.
-ODD = [None, "", " \n\t ", "one", "a\x1cb c d", "x " * 30_000, "Same text here", "Same text here", "ümläut ß \U0001f600 end", "\x0b\x0c"]
+ODD = [None, "", " \n\t ", "one", "a\x1cb c d", "x " * 30_000, "Same text here", "Same text here", "ümläut ß \U0001f600 end", "\x0b\x0c", "w" * 1_000_000, "#" * 1_000_000 + "x"]
