@@ -1,9 +1,12 @@
 """Links between nodes and their connected components, for the near-duplicate operators.
 
-Links are searched within groups of nodes that share a key. A key shared by many nodes is split into
-tiles and each pair of tiles becomes a group of its own, so no task ever holds more than two tiles.
-Of each group only a spanning forest of its links is emitted, at most one link a node: components
-are kept whole and no group's pairs are ever written out.
+Links are searched within groups of nodes that share a key. Of each group only a spanning forest of
+its links is emitted, at most one link a node: components are kept whole and no group's pairs are
+ever written out. A group beyond a tile's size is dealt into tiles at random, differently for each
+key, and its links within tiles come first. They connect what is alike throughout, such as a vast
+group of near copies, at a cost linear in the group. Then only nodes of different components are left
+to be compared: those outside the group's largest component meet every tile, so no task ever holds
+more than two tiles, and no link is missed.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch
 
-#: Nodes in a tile; a group compares two tiles at most.
+#: Nodes in a tile; a task compares two tiles at most.
 TILE = 1024
 #: Rows of the comparison that are in memory at once.
 CHUNK = 128
@@ -63,49 +66,83 @@ def spanning_links(prints: np.ndarray, most: int, apart: Callable[[np.ndarray, n
     return out
 
 
-def links(keys: DataFrame, most: int, tile: int = TILE, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = differing_bits) -> DataFrame:
-    """Links (a, b) between nodes that share a key and differ in at most `most` bits, or as `apart` counts.
+def _in_groups(members: DataFrame, keys: list[str], find: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) within each group of (keys, node long, payload)."""
+    groups = members.groupBy(*keys).agg(F.collect_list("node").alias("nodes"), F.collect_list("payload").alias("payloads")).where("size(nodes) > 1")
 
-    keys: (kind int, key long, node long, print binary), a row for each key of a node; nodes are
-    distinct, and print is a whole number of 64-bit words.
-    """
-    shared = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    met = keys.join(shared, ["kind", "key"]).withColumn("tiles", tiles)
-    met = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    met = met.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    groups = met.groupBy("kind", "key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).agg(
-        F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints")
-    )
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a, b = [], []
-            for nodes, prints in zip(batch["nodes"], batch["prints"], strict=True):
-                if len(nodes) > 1:
-                    words = np.frombuffer(b"".join(prints), np.uint64).reshape(len(nodes), -1)
-                    # from the smallest node on: groups that share their nodes then give the same links
-                    order = np.argsort(nodes)
-                    nodes, words = np.asarray(nodes)[order], words[order]
-                    for x, y in spanning_links(words, most, apart):
-                        a.append(nodes[x])
-                        b.append(nodes[y])
+            for nodes, payloads in zip(batch["nodes"], batch["payloads"], strict=True):
+                # from the smallest node on: groups that share their nodes then give the same links
+                nodes, first = np.unique(np.asarray(nodes, "int64"), return_index=True)
+                for x, y in find([payloads[i] for i in first]):
+                    a.append(nodes[x])
+                    b.append(nodes[y])
             yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
 
-    return groups.select("nodes", "prints").mapInPandas(find, "a long, b long").distinct()
+    return groups.select("nodes", "payloads").mapInPandas(run, "a long, b long").distinct()
+
+
+def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list], list[tuple[int, int]]], scratch: Scratch, looks: int = 1) -> DataFrame:
+    """Links (a, b) that connect, within each group of `members`, all nodes that `find` connects.
+
+    members: (keys, node long, payload, weight double), a row for each node of a group; weight is its
+    share of a tile. find: a spanning forest of the links between payloads, by their places. looks: how
+    often a group of several tiles is dealt into them before what is left is compared throughout.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), F.ceil(F.sum("weight")).cast("int").alias("tiles")).where("n > 1")
+    met = members.join(sizes.drop("n"), keys)
+    look = F.explode(F.sequence(F.lit(0), F.when(F.col("tiles") > 1, looks - 1).otherwise(0)))
+    dealt = met.withColumn("look", look).withColumn("tile", F.pmod(F.xxhash64("node", "look", *keys), F.col("tiles")))
+    edges = _in_groups(dealt, [*keys, "look", "tile"], find)
+    if not sizes.where("tiles > 1").limit(1).count():
+        return edges
+    edges = scratch.keep(edges)
+    roots = components(edges, scratch)
+    large = met.where("tiles > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = large.groupBy(*keys, "root").agg(F.sum("weight").alias("w"))
+    split = parts.groupBy(*keys).agg(F.max(F.struct("w", "root")).alias("main"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    split = split.select(*keys, F.col("main.root").alias("main"), F.ceil("w").cast("int").alias("columns"), F.greatest(F.lit(1), F.ceil(F.col("w") - F.col("main.w"))).cast("int").alias("rows"))
+    left = scratch.keep(large.select(*keys, "node", "payload", "root").join(split, keys))
+
+    def tile_of(count: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(count)), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.expr(f"sequence(0, {count} - 1)"))
+
+    whole = left.withColumn("column", tile_of("columns")).withColumn("row", every("rows"))
+    rest = left.where("root <> main").withColumn("column", every("columns")).withColumn("row", tile_of("rows"))
+    return edges.union(_in_groups(whole.unionByName(rest), [*keys, "column", "row"], find))
+
+
+def links(keys: DataFrame, most: int, scratch: Scratch, tile: int = TILE, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = differing_bits) -> DataFrame:
+    """Links (a, b) that connect the nodes that share a key and differ in at most `most` bits, or as `apart` counts.
+
+    keys: (kind int, key long, node long, print binary), a row for each key of a node; nodes are
+    distinct, and print is a whole number of 64-bit words.
+    """
+
+    def find(prints: list) -> list[tuple[int, int]]:
+        return spanning_links(np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1), most, apart)
+
+    members = keys.select("kind", "key", "node", F.col("print").alias("payload"), F.lit(1 / tile).alias("weight"))
+    return spanning_forest(members, ["kind", "key"], find, scratch)
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of `edges` (a, b), root the smallest node that it reaches.
 
     Each round takes the smallest label around a node and then that label's own label, so labels
-    travel doubling distances. A round's labels are a written table: a lost executor costs no more
-    than the round.
+    travel doubling distances: the rounds are about as many as the longest path has binary digits.
+    They go on until no label moves, which must happen, as labels only fall. A round's labels are a
+    written table: a lost executor costs no more than the round.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.keep(both.where("a <> b").distinct())
     labels, path = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
-    for _ in range(rounds):
+    while True:
         around = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "root")
         step = around.union(labels).groupBy("node").agg(F.min("root").alias("new"))
         old = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
@@ -117,4 +154,3 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         labels, path = after.select("node", "root"), after_path
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,12 +4,15 @@ A fingerprint is split into blocks; two that differ in at most d bits agree on a
 of them, so each choice of that many blocks is a join key that no close pair misses. Equal
 fingerprints are one node before any key is made, hot keys are tiled (see components.py).
 
-`near_dedup` removes near copies at a similarity of 0.8 of five-word shingles. At that similarity a
-64-bit fingerprint differs in ten bits, too many for selective blocks, so candidates share a key of
-three smallest hashes of their shingles instead. Two smallest hashes are equal with the probability
-of the Jaccard similarity whatever the kind of change, so of 24 keys a pair at 0.8 misses all with a
-probability of 0.488^24 = 3e-8. Candidates only make up clusters; within a cluster, links are pairs
-whose exact similarity reaches 0.8, and nothing goes without such a link.
+`near_dedup` removes near copies at a similarity of 0.8 of five-word shingles. At that similarity two
+SimHash fingerprints of 64 bits differ in ten bits, and blocks that ten differing bits can't all touch
+are too narrow to select anything. Its fingerprint has 72 symbols instead, each the smallest of
+another hash of the shingles, so a symbol differs with the probability 1 - similarity whatever the
+kind of change. The same pigeonhole holds: 24 blocks of three symbols are the keys, and fingerprints
+that differ in 23 symbols or fewer share a block for certain (a pair at 0.8 that differs in more still
+does, but with a probability of 3e-8). Candidates are verified by the distance of the same symbols,
+and make up clusters; within a cluster, links are pairs whose exact similarity reaches 0.8, and
+nothing goes without such a link.
 
 Defined results: a null or blank text has no shingles and the fingerprint zero (in `near_dedup` it
 is kept, as no copy of anything); fewer words than a shingle make one shingle; repeated rows are
@@ -20,7 +23,6 @@ empty table gives an empty result; further columns are ignored, or kept by `near
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -30,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, unused
-from corpusloom.llm.components import components, differing_bytes, links
+from corpusloom.llm.components import components, differing_bytes, links, spanning_forest
 
-#: Keys of a document in `near_dedup`, and the smallest hashes that make one.
-BANDS, BAND_ROWS = 24, 3
-#: 64-bit words of the sketch, which holds a byte of each of its smallest hashes.
-PRINT_WORDS = 8
+#: Blocks of a fingerprint in `near_dedup`, and symbols in a block. All symbols together fill whole 64-bit words, a byte each.
+BLOCKS, BLOCK_SYMBOLS = 24, 3
 #: Documents and bytes of text in a tile of a cluster; two tiles at most are compared in a task.
 CLUSTER_ROWS, CLUSTER_BYTES = 512, 8 << 20
+#: How often a cluster beyond a tile is dealt into tiles, at random, before the rest is compared throughout.
+LOOKS = 3
 #: Shingles whose bits are counted at once.
 STEP = 16_384
 
@@ -110,8 +112,9 @@ def signed(x: int) -> int:
 def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of `docs` (doc_id, text).
 
-    Six blocks give 15 keys of 21 or 22 bits, fit for up to some 10^8 fingerprints; seven give 35
-    keys of 27 bits.
+    The number of blocks sets how many fingerprints a key has by chance, and no more: six give 15 keys of
+    21 or 22 bits (24 fingerprints a key at 10^8), seven 35 keys of 27 (75 at 10^10), eight 70 keys of 32
+    (23 at 10^11). Its results are the same whatever it is. See `components` for how rounds end.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     table = scratch.keep(fingerprints(docs, width, seed))
@@ -121,7 +124,7 @@ def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42, distance
     keys = nodes.select(F.col("print").alias("node"), each.alias("k")).select("k.kind", "k.key", "node")
     # a long's bytes in either order compare alike
     keys = keys.withColumn("print", F.unhex(F.lpad(F.hex("node"), 16, "0")))
-    roots = components(links(keys, distance), scratch)
+    roots = components(links(keys, distance, scratch), scratch)
     joined = nodes.join(roots, nodes["print"] == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = scratch.keep(joined.join(smallest, "root").select("print", "component_id"))
@@ -135,14 +138,14 @@ def smallest(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def signature(text: Column, width: int = 5) -> Column:
-    """struct<node, print, blocks> of a text; null fields if it has no words.
+    """struct<text_id, print, blocks> of a text; null fields if it has no words.
 
-    node is a hash of the whole lower-cased word sequence; blocks the keys, each of BAND_ROWS
-    smallest hashes of the shingles, and print the low bytes of the first of these hashes.
+    text_id is a 128-bit hash of the whole lower-cased word sequence, print the low byte of each
+    symbol of the fingerprint, and blocks a hash of each block's whole symbols.
     """
-    size = 8 * BAND_ROWS
+    size = 8 * BLOCK_SYMBOLS
 
-    @F.pandas_udf("struct<node:string,print:binary,blocks:array<long>>")
+    @F.pandas_udf("struct<text_id:binary,print:binary,blocks:array<long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out: list[tuple] = []
         for text in texts:
@@ -150,12 +153,11 @@ def signature(text: Column, width: int = 5) -> Column:
             if not words:
                 out.append((None, None, None))
                 continue
-            node = xxhash.xxh3_64_intdigest(b" ".join(words))
-            least = smallest(np.unique(shingle_hashes(words, width)), BANDS * BAND_ROWS)
-            raw = least.tobytes()
+            symbols = smallest(np.unique(shingle_hashes(words, width)), BLOCKS * BLOCK_SYMBOLS)
+            raw = symbols.tobytes()
             blocks = [signed(xxhash.xxh3_64_intdigest(raw[at : at + size])) for at in range(0, len(raw), size)]
-            out.append((str(signed(node)), least[: 8 * PRINT_WORDS].astype(np.uint8).tobytes(), blocks))
-        return pd.DataFrame(out, columns=["node", "print", "blocks"], dtype=object)
+            out.append((xxhash.xxh3_128_digest(b" ".join(words)), symbols.astype(np.uint8).tobytes(), blocks))
+        return pd.DataFrame(out, columns=["text_id", "print", "blocks"], dtype=object)
 
     return run(text)
 
@@ -187,54 +189,39 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def alike(members: DataFrame, width: int, similarity: float, tile_rows: int = CLUSTER_ROWS) -> DataFrame:
-    """Links (a, b) between the nodes of a cluster that are similar: spanning, and exact by their shingles.
+def alike(members: DataFrame, width: int, similarity: float, scratch: Scratch, tile_rows: int = CLUSTER_ROWS) -> DataFrame:
+    """Links (a, b) that connect the nodes of a cluster that are similar: exact, by their shingles.
 
     members: (cluster long, node long, text string), a row for each node.
     """
-    sizes = members.groupBy("cluster").agg(F.greatest(F.count("*") / tile_rows, F.sum(F.octet_length("text")) / CLUSTER_BYTES).alias("size"))
-    met = members.join(sizes, "cluster").withColumn("tiles", F.ceil("size").cast("int")).drop("size")
-    met = met.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    met = met.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    groups = met.groupBy("cluster", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).agg(
-        F.collect_list("node").alias("nodes"), F.collect_list("text").alias("texts")
-    )
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = [], []
-            for nodes, texts in zip(batch["nodes"], batch["texts"], strict=True):
-                if len(nodes) > 1:
-                    sets = [np.unique(shingle_hashes(t.encode("utf-8", "replace").lower().split(), width)) for t in texts]
-                    for x, y in similar_links(sets, similarity):
-                        a.append(nodes[x])
-                        b.append(nodes[y])
-            yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
-
-    return groups.select("nodes", "texts").mapInPandas(find, "a long, b long").distinct()
+
+    def find(texts: list) -> list[tuple[int, int]]:
+        return similar_links([np.unique(shingle_hashes(t.encode("utf-8", "replace").lower().split(), width)) for t in texts], similarity)
+
+    weight = F.greatest(F.lit(1 / tile_rows), F.octet_length("text") / CLUSTER_BYTES)
+    return spanning_forest(members.select("cluster", "node", F.col("text").alias("payload"), weight.alias("weight")), ["cluster"], find, scratch, LOOKS)
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 6.0) -> DataFrame:
     """`docs` with one document, the one of the smallest id, of each group of near copies.
 
     Documents link whose shingles have at least the given Jaccard similarity. Clusters are made of
-    candidates whose sketches differ in no more bytes than expected at it, plus `slack` standard deviations.
+    candidates whose fingerprints differ in no more symbols than expected at it, plus `slack` standard deviations.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     uid, mark = unused(docs, "_uid"), unused(docs, "_signature")
     rows = scratch.keep(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(mark, signature(F.col("text").cast("string"), width)))
-    table = rows.where(F.col(f"{mark}.node").isNotNull()).select(
-        F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{mark}.node").cast("long").alias("node"), f"{mark}.print", f"{mark}.blocks"
-    )
-    nodes = table.groupBy("node").agg(F.min("print").alias("print"), F.min("blocks").alias("blocks"))
-    size = 8 * PRINT_WORDS
+    table = rows.where(F.col(f"{mark}.text_id").isNotNull()).select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), f"{mark}.text_id", f"{mark}.print", f"{mark}.blocks")
+    # equal texts are one node, named by its first row
+    nodes = scratch.keep(table.groupBy("text_id").agg(F.min("uid").alias("node"), F.first("print").alias("print"), F.first("blocks").alias("blocks")))
+    size = BLOCKS * BLOCK_SYMBOLS
     most = round(size * (1 - similarity) + slack * math.sqrt(size * similarity * (1 - similarity)))
     keys = nodes.select("node", "print", F.posexplode("blocks").alias("kind", "key"))
-    clusters = components(links(keys, most, apart=differing_bytes), scratch)
-    first = table.join(clusters, "node").groupBy("node", F.col("root").alias("cluster")).agg(F.min("uid").alias("uid"))
-    members = rows.join(first, rows[uid] == first["uid"]).select("cluster", "node", F.col("text").cast("string").alias("text"))
-    roots = components(alike(scratch.keep(members), width, similarity), scratch)
-    grouped = table.select("uid", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    clusters = components(links(keys, most, scratch, apart=differing_bytes), scratch).select("node", F.col("root").alias("cluster"))
+    members = rows.join(clusters, rows[uid] == clusters["node"]).select("cluster", "node", F.col("text").cast("string").alias("text"))
+    roots = components(alike(scratch.keep(members), width, similarity, scratch), scratch)
+    named = nodes.select("text_id", "node").join(roots, "node", "left").select("text_id", F.coalesce("root", "node").alias("root"))
+    grouped = table.select("uid", "doc_id", "text_id").join(named, "text_id")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     stays = grouped.groupBy("root").agg(F.min(rank).getField("uid").alias("uid"))
     goes = scratch.keep(grouped.select("uid").join(stays.select("uid"), "uid", "left_anti"))
