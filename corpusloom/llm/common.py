@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, one is set for a session in a single process, as in tests; a cluster has to name it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,30 +44,56 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: The scratch folders made since the innermost `dropping` began.
+_made: list[list[Scratch]] = []
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors.
+
+    They are deleted when the application ends, or earlier by `dropping`.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         bound_batches(spark)
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _made:
+            _made[-1].append(self)
 
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Write `df`, and return it as read again, with its path."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:
+            at, files = self._at(self.root)
+            files.deleteOnExit(at)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.put(df)[0]
 
-    def drop(self, path: str) -> None:
-        """Delete one of these tables once no plan reads it."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, path: str | None = None) -> None:
+        """Delete one of these tables, or all, once no plan reads them."""
+        at, files = self._at(path or self.root)
+        files.delete(at, True)
+
+    def _at(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def dropping() -> Iterator[None]:
+    """Delete the scratch tables that are made within: for steps whose results are written before the end."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.drop()
 
 
 def words_of(text: Column) -> Column:
@@ -78,17 +111,18 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows of `df` by the hash of a key, the same in every run; all rows if there are no more.
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About `rows` rows of `df` by the hash of the whole row, the same in every run; all rows if there are no more.
 
     A share of the hashes is kept instead of the smallest ones, so that no task sends a whole
-    sample's worth of candidates to the driver. At most a fifth more than `rows` are returned.
+    sample's worth of candidates to the driver. At most a fifth more than `rows` are returned: only
+    copies of one row can pass that bound together, and it does not matter which of them fall away.
     """
     n = df.count()
     if n <= rows:
         return df
     scale = 1 << 30
-    kept = df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(scale)) < F.lit(max(1, scale * rows // n)))
+    kept = df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit("sample")), F.lit(scale)) < F.lit(max(1, scale * rows // n)))
     return kept.limit(rows + rows // 5)
 
 

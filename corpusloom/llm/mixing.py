@@ -12,24 +12,30 @@ step is one pass over (tokens, posteriors). Of all rates that meet the targets,
 are reached.
 
 A rate r then means floor(r + u) copies, u being a hash of the row, so copies follow the rate in
-expectation. Targets are set against what the sound domain holds, so sound documents
-stay, and no domain's target is above `supply` times what it holds.
-
-Defined results: a null or blank text has no tokens and the rate 1; without labels, or with one
-domain only, there is one domain, and its rate is its target over its share; repeated rows get rates
-of their own; a null id is a row like any other; an empty table gives an empty result; all columns
-are kept.
+expectation. The targets are the given weights' shares of all tokens. With `supply`, which is off in
+`mixing_rates` and on in `mix`, they are set against what the sound domain holds, so sound documents
+stay, and no domain's target is above `supply` times what it holds, so scarce domains aren't repeated
+at will. The targets used, the tokens reached and whether they agree are part of `mixing_rates`' rows;
+`mix` warns where they don't.
+
+Defined results: a null or blank text has no tokens and the rate 1; ids with contradictory labels are
+not learned from; without labels, or with one domain only, there is one domain, and its rate is its
+target over its share; repeated rows have the same rate and round alike; a null id is a row like any
+other; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.calibration import clear_labels
 from corpusloom.llm.common import Scratch, bounded_sample, unused
 from corpusloom.llm.quality_classifier import NAMES, statistics
 from corpusloom.llm.toxicity import INSULTS, learn_lexicon, plain_words
@@ -37,7 +43,7 @@ from corpusloom.llm.toxicity import INSULTS, learn_lexicon, plain_words
 #: The domains, and the target share of expected tokens of each.
 DOMAINS = ("sound", "poor", "toxic")
 TARGETS = (0.94, 0.03, 0.03)
-#: The sound domain's target, as a multiple of what it holds.
+#: In `mix`, the sound domain's target as a multiple of what it holds, and the most that any domain's may be.
 SUPPLY = 1.2
 #: Steps of descent at most, and the relative gap to the targets at which they end.
 STEPS, CLOSE = 20, 1e-3
@@ -92,15 +98,15 @@ class Softmax:
         return self._share(self.expanded(x) @ self.w)
 
 
-def learn_domains(rows: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[Softmax, dict[bytes, float]]:
+def learn_domains(rows: DataFrame, labels: DataFrame, sample_rows: int, scratch: Scratch) -> tuple[Softmax, dict[bytes, float]]:
     """The domain classifier and its lexicon, from halves of a bounded sample of labelled rows of (doc_id, text)."""
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    quality, toxic = clear_labels(labels, "quality").withColumnRenamed("y", "quality"), clear_labels(labels, "toxic").withColumnRenamed("y", "toxic")
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
-    known = known.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("doc_id", domain.alias("y"))
-    chosen = bounded_sample(known, "doc_id", sample_rows)
+    chosen = bounded_sample(quality.join(toxic, "doc_id").select("doc_id", domain.alias("y")), sample_rows)
 
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).alias("half")
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "y", half)
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = scratch.keep(found.select("text", "y", half))
     learned = learn_lexicon(sample.where("half = 0").select("text", (F.col("y") == 2).cast("double").alias("y")))
 
     @F.pandas_udf("array<double>")
@@ -124,7 +130,7 @@ def membership(model: Softmax, learned: dict[bytes, float], text: Column) -> Col
     return run(text)
 
 
-def rates(p: np.ndarray, duals: list[np.ndarray]) -> np.ndarray:
+def rates(p: np.ndarray, duals: Sequence[np.ndarray]) -> np.ndarray:
     """The rates after the given steps, from 1."""
     r = np.ones(len(p))
     for d in duals:
@@ -132,8 +138,21 @@ def rates(p: np.ndarray, duals: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def solve(table: DataFrame, targets: tuple, supply: float, steps: int) -> list[np.ndarray]:
-    """The steps of projected gradient descent over (tokens, p)."""
+@dataclass
+class Solution:
+    """The steps of descent, the domains' targets and the tokens that the rates give."""
+
+    steps: list[np.ndarray] = field(default_factory=list)
+    target: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    reached: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+
+    @property
+    def converged(self) -> bool:
+        return bool((np.abs(self.target - self.reached) <= CLOSE * self.target).all())
+
+
+def solve(table: DataFrame, targets: tuple, supply: float | None, steps: int) -> Solution:
+    """Projected gradient descent over (tokens, p)."""
     k = len(targets)
     p = [F.col("p")[d] for d in range(k)]
     columns = [F.sum(F.col("tokens") * x) for x in p] + [F.sum(F.col("tokens") * x * y) for x in p for y in p]
@@ -141,18 +160,18 @@ def solve(table: DataFrame, targets: tuple, supply: float, steps: int) -> list[n
     have, gram = sums[:k], sums[k:].reshape(k, k)
     total = have.sum()
     if not total:
-        return []
-    share = np.array(targets, float) / sum(targets)
-    # a domain with less than its share isn't repeated beyond the supply
-    target = np.minimum(share * (supply * have[0] / share[0] if have[0] else total), np.maximum(supply * have, 1e-6 * total))
+        return Solution()
+    target = np.array(targets, float) / sum(targets)
+    if supply is None:
+        target = target * total
+    else:  # a domain with less than its share isn't repeated beyond the supply
+        target = np.minimum(target * (supply * have[0] / target[0] if have[0] else total), np.maximum(supply * have, 1e-6 * total))
     scale = np.linalg.pinv(gram + 1e-6 * total / k * np.eye(k))
-    expected, duals = have, []
-    for _ in range(steps):
-        if np.abs(1 - expected / target).max() < CLOSE:
-            break
-        duals = [*duals, scale @ (target - expected)]
+    out = Solution([], target, have)
+    while not out.converged and len(out.steps) < steps:
+        out.steps.append(scale @ (target - out.reached))
 
-        def part(batches: Iterator[pd.DataFrame], duals=duals) -> Iterator[pd.DataFrame]:
+        def part(batches: Iterator[pd.DataFrame], duals=tuple(out.steps)) -> Iterator[pd.DataFrame]:
             s = np.zeros(k)
             for b in batches:
                 if len(b):
@@ -161,20 +180,21 @@ def solve(table: DataFrame, targets: tuple, supply: float, steps: int) -> list[n
             yield pd.DataFrame({"d": np.arange(k), "s": s})
 
         got = table.select("tokens", "p").mapInPandas(part, "d int, s double").groupBy("d").agg(F.sum("s").alias("s")).toPandas()
-        expected = np.zeros(k)
-        expected[got["d"]] = got["s"]
-    return duals
+        out.reached = np.zeros(k)
+        out.reached[got["d"]] = got["s"]
+    return out
 
 
-def rate_columns(docs: DataFrame, labels: DataFrame, targets: tuple = TARGETS, supply: float = SUPPLY, steps: int = STEPS, sample_rows: int = 20_000) -> tuple[DataFrame, str]:
-    """`docs`, written again with a column struct<tokens, p, rate, copies>, and that column's name.
+def rate_columns(docs: DataFrame, labels: DataFrame, targets: tuple = TARGETS, supply: float | None = None, steps: int = STEPS, sample_rows: int = 20_000) -> tuple[DataFrame, str, Solution]:
+    """`docs`, written again with a column struct<tokens, p, rate, copies>, that column's name, and the solution.
 
     The membership is stored beside the row, so no row number or join is needed to bring both together.
     """
-    name = unused(docs, "_mix")
-    model, learned = learn_domains(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, sample_rows)
-    rows = Scratch(docs.sparkSession, "mixing").keep(docs.withColumn(name, membership(model, learned, F.col("text").cast("string"))))
-    duals = solve(rows.select(f"{name}.tokens", f"{name}.p"), targets, supply, steps)
+    name, scratch = unused(docs, "_mix"), Scratch(docs.sparkSession, "mixing")
+    model, learned = learn_domains(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, sample_rows, scratch)
+    rows = scratch.keep(docs.withColumn(name, membership(model, learned, F.col("text").cast("string"))))
+    found = solve(rows.select(f"{name}.tokens", f"{name}.p"), targets, supply, steps)
+    duals = tuple(found.steps)
 
     @F.pandas_udf("double")
     def rate(tokens: pd.Series, p: pd.Series) -> pd.Series:
@@ -183,18 +203,21 @@ def rate_columns(docs: DataFrame, labels: DataFrame, targets: tuple = TARGETS, s
 
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
     out = rows.withColumn(name, F.struct(f"{name}.tokens", f"{name}.p", rate(F.col(f"{name}.tokens"), F.col(f"{name}.p")).alias("rate"), chance.alias("chance")))
-    return out.withColumn(name, F.col(name).withField("copies", F.floor(F.col(f"{name}.rate") + F.col(f"{name}.chance")).cast("int")).dropFields("chance")), name
+    return out.withColumn(name, F.col(name).withField("copies", F.floor(F.col(f"{name}.rate") + F.col(f"{name}.chance")).cast("int")).dropFields("chance")), name, found
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, tokens, p_<domain>, rate, copies) of each row of `docs` (doc_id, text)."""
-    rows, m = rate_columns(docs.select("doc_id", "text"), labels, **options)
+    """(doc_id, tokens, p_<domain>, rate, copies, target_<domain>, reached_<domain>, converged) of each row of `docs` (doc_id, text)."""
+    rows, m, found = rate_columns(docs.select("doc_id", "text"), labels, **options)
     shares = [F.col(f"{m}.p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), f"{m}.tokens", *shares, f"{m}.rate", f"{m}.copies")
+    totals = [F.lit(float(x[k])).alias(f"{n}_{d}") for n, x in (("target", found.target), ("reached", found.reached)) for k, d in enumerate(DOMAINS)]
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), f"{m}.tokens", *shares, f"{m}.rate", f"{m}.copies", *totals, F.lit(found.converged).alias("converged"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, supply: float | None = SUPPLY, **options) -> DataFrame:
     """`docs` with each row as often as its rate says."""
-    rows, m = rate_columns(docs, labels, **options)
+    rows, m, found = rate_columns(docs, labels, supply=supply, **options)
+    if not found.converged:
+        warnings.warn(f"mixing targets {found.target.tolist()} were not met: {found.reached.tolist()} after {len(found.steps)} steps", stacklevel=2)
     times = rows.where(F.col(f"{m}.copies") > 0).withColumn(m, F.explode(F.sequence(F.lit(1), F.col(f"{m}.copies"))))
     return times.drop(m)

@@ -4,7 +4,9 @@ Each text becomes a few statistics, written once. Random Fourier features of the
 approximate a Gaussian kernel; each partition of the labelled rows adds up its part of the normal
 equations, whose sum (a fixed number of cells) is solved on the driver. A fifth of the labelled rows
 is kept for calibration, in a fixed number of score bins. The scale and the kernel's width come from
-a bounded sample of labelled rows (`sample_rows`); the normal equations and bins use them all.
+a bounded sample of labelled rows (`sample_rows`); the normal equations and bins use them all. The
+calibrated share is mixed with 0.1 % of a sigmoid of the raw score, so that the order of scores shows
+within a pooled block too.
 
 Defined results: a null or blank text has the statistics of an empty one and a score like any other;
 a null id is scored, is not held out, and never has a label; contradictory labels are left out; with
@@ -31,6 +33,8 @@ from corpusloom.llm.quality_rules import STOP_WORDS
 FEATURES = 192
 SEED = 20_240_229
 RIDGE = 1e-3
+#: Tasks that add up the partitions' sums, and rows of sums (150 kB each) that reach the driver.
+SUMMERS = 16
 #: Raw scores fall into so many bins for calibration.
 BINS = 2000
 
@@ -84,6 +88,7 @@ class Fourier:
         rng = np.random.default_rng(seed)
         d = len(NAMES)
         sample = sample.reshape(-1, d)
+        sample = rng.permutation(sample[np.lexsort(sample.T)])  # whatever the order of the rows
         self.mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
         spread = sample.std(axis=0) if len(sample) else np.ones(d)
         self.scale = np.where(spread > 1e-9, spread, 1.0)
@@ -116,7 +121,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def normal_equations(rows: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sums over (x, y) of phi phi', phi y and rows: added up in each partition, then by cell."""
+    """Sums over (x, y) of phi phi', phi y and rows: one packed row of sums a partition, added up in SUMMERS tasks."""
     d = fourier.w.shape[1] + 1
     upper = np.triu_indices(d)
 
@@ -129,12 +134,19 @@ def normal_equations(rows: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.
                 v += phi.T @ b["y"].to_numpy()
                 n += len(b)
         if n:
-            values = np.concatenate([a[upper], v, [n]])
-            yield pd.DataFrame({"cell": np.arange(len(values), dtype=np.int32), "value": values})
+            yield pd.DataFrame({"sums": [np.concatenate([a[upper], v, [n]]).tobytes()]})
 
-    sums = rows.select("x", "y").mapInPandas(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(upper[0]) + d + 1)
+        for b in batches:
+            for sums in b["sums"]:
+                total += np.frombuffer(sums)
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    parts = rows.select("x", "y").mapInPandas(run, "sums binary").repartition(SUMMERS).mapInPandas(add, "sums binary")
     values = np.zeros(len(upper[0]) + d + 1)
-    values[sums["cell"]] = sums["value"]
+    for row in parts.collect():
+        values += np.frombuffer(row["sums"])
     a = np.zeros((d, d))
     a[upper] = values[: len(upper[0])]
     a = a + np.triu(a, 1).T
@@ -143,7 +155,7 @@ def normal_equations(rows: DataFrame, fourier: Fourier) -> tuple[np.ndarray, np.
 
 def fit(train: DataFrame, sample_rows: int = 20_000):
     """A function from statistics to scores, learned from (doc_id, x, y)."""
-    sample = bounded_sample(train, "doc_id", sample_rows).select("x").toPandas()["x"]
+    sample = bounded_sample(train, sample_rows).select("x").toPandas()["x"]
     fourier = Fourier(np.stack(sample.to_numpy()) if len(sample) else np.zeros((0, len(NAMES))))
     aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(5)) == 0
     a, v, n = normal_equations(train.where(~aside), fourier)
@@ -177,16 +189,18 @@ def score_column(score, x: Column) -> Column:
     return run(x)
 
 
-def learned(rows: DataFrame, labels: DataFrame, modulus: int | None, held_out: int, sample_rows: int):
+def learned(rows: DataFrame, labels: DataFrame, modulus: int | None, held_out: int, sample_rows: int, scratch: Scratch):
     """The score learned from (doc_id, x) and `labels`, outside the held-out fold if there is one."""
     train = rows.select("doc_id", "x").join(clear_labels(labels, "quality"), "doc_id")
-    return fit(train if modulus is None else train.where(fold(F.col("doc_id"), modulus) != held_out), sample_rows)
+    train = train if modulus is None else train.where(fold(F.col("doc_id"), modulus) != held_out)
+    return fit(scratch.keep(train), sample_rows)  # read for the count, the sample, the sums and the bins
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, sample_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """Scores of each row of `docs` (doc_id, text), learned from `labels` (doc_id, quality) outside the held-out fold."""
-    rows = Scratch(docs.sparkSession, "quality").keep(measured(docs))
-    score = learned(rows, labels, modulus, held_out, sample_rows)
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.keep(measured(docs))
+    score = learned(rows, labels, modulus, held_out, sample_rows, scratch)
     held = F.coalesce(fold(F.col("doc_id"), modulus) == held_out, F.lit(False))
     out = rows.select("doc_id", held.alias("held_out"), score_column(score, F.col("x")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -195,6 +209,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_ou
 def quality_filter(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """`docs` without the rows that score below the threshold; all labels are learned from."""
     x = unused(docs, "_statistics")
-    rows = Scratch(docs.sparkSession, "quality").keep(docs.withColumn(x, statistics_of(F.col("text"))))
-    score = learned(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), labels, None, 0, sample_rows)
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.keep(docs.withColumn(x, statistics_of(F.col("text"))))
+    score = learned(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), labels, None, 0, sample_rows, scratch)
     return rows.where(score_column(score, F.col(x)) >= threshold).drop(x)

@@ -205,7 +205,7 @@ def survey(rows: DataFrame, window: int) -> DataFrame:
 
 
 def segments(rows: DataFrame, window: int) -> DataFrame:
-    """(deal, id, anon, t1, t2, start, alone, route, seg, words): the segments of (who, text, shared, hot).
+    """(deal, id, anon, t1, t2, start, alone, route, seg, words): the segments of (deal, id, anon, text, shared, hot).
 
     alone: a single window of a hot anchor, whose words are not carried.
     """
@@ -215,14 +215,14 @@ def segments(rows: DataFrame, window: int) -> DataFrame:
         known = _Hashes()
         for b in batches:
             out: list[tuple] = []
-            for deal, own, anon, first, second, text, shared, hot in zip(*[b[c] for c in [*_WHO, "text", "shared", "hot"]], strict=True):
+            for deal, own, anon, text, shared, hot in zip(*[b[c] for c in ("deal", "id", "anon", "text", "shared", "hot")], strict=True):
                 if shared is None or not len(shared) or not isinstance(text, str):
                     continue
                 raw = text.encode("utf-8", "replace")
                 words = raw.split()
-                if len(words) < window or text_id(raw) != (first, second):
+                if len(words) < window:
                     continue
-                who = (deal, own, anon, first, second)
+                who = (deal, own, anon, *text_id(raw))
                 a = anchors(word_hashes(words, known), window)
                 starts, ends = stretches(a)
                 mine = a[starts]
@@ -313,12 +313,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50, who: str
     # an anchor of one id alone, or of rows without an id alone, has nothing to take from another
     shared = places.groupBy("anchor").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("anon").alias("some"), F.count("*").alias("n")).where("lo < hi or (lo is not null and some)")
     met = places.join(shared.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
-    flags = met.groupBy("deal", "id", "anon").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    flagged = scratch.keep(single.select(*_WHO).join(flags, ["deal", "id", "anon"]))
+    flagged = scratch.keep(met.groupBy("deal", "id", "anon").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
     dealt = docs.repartition(F.col(f"{who}.deal"))
     met = dealt.select(F.col(f"{who}.deal").alias("at"), F.col(f"{who}.id").alias("at_id"), F.col(f"{who}.anon").alias("at_anon"), F.col("text").cast("string").alias("text"))
     met = met.join(flagged, (F.col("at") == F.col("deal")) & (F.col("at_id") == F.col("id")) & (F.col("at_anon") == F.col("anon")))
-    parts = scratch.keep(segments(met.select(*_WHO, "text", "shared", "hot"), window))  # two readers, and made by Python
+    parts = scratch.keep(segments(met.select("deal", "id", "anon", "text", "shared", "hot"), window))  # two readers, and made by Python
     groups = parts.where("not alone").groupBy("route", "words").agg(F.min(own).alias("first"), F.count("*").alias("n"))
     groups = groups.select("route", "words", F.coalesce("first", F.lit(0)).alias("first"), F.col("first").isNotNull().alias("owned"), "n")
     found = first_documents(groups, window, automaton)

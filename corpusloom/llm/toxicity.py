@@ -2,8 +2,10 @@
 
 The features of a whole text are densities of a seed lexicon and of a lexicon learned from the
 labels, hits near second-person words, and rates of capitals, punctuation and obfuscation. Lexicon,
-trees and calibration are learned from a bounded sample of labelled rows (`sample_rows`, by the hash
-of the id), whose texts are found by a broadcast of that many ids; every row is then scored in one pass.
+trees and calibration are learned from a bounded sample of labelled ids (`sample_rows`), whose texts
+are found by a broadcast of that many ids; of an id with several texts the smallest is learned from.
+Every row is then scored in one pass. The calibrated share is mixed with 0.1 % of a sigmoid of the log
+odds, so that the order of scores shows within a pooled block too.
 
 Defined results: a null or blank text has the features of an empty one and a score like any other; a
 null id is scored, is not held out, and never has a label; contradictory labels are left out; without
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.calibration import Isotonic, clear_labels
-from corpusloom.llm.common import bound_batches, bounded_sample, fold
+from corpusloom.llm.common import Scratch, bounded_sample, fold
 
 #: Insults of the four languages.
 INSULTS = (
@@ -193,13 +195,14 @@ def _all_features(texts, learned: dict[bytes, float], seeds: frozenset) -> np.nd
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """Scores of each row of `docs` (doc_id, text), learned from `labels` (doc_id, toxic) outside the held-out fold."""
-    bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
     held = F.coalesce(fold(F.col("doc_id"), modulus) == held_out, F.lit(False))
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = bounded_sample(clear_labels(labels, "toxic").where(~held), "doc_id", sample_rows)
+    chosen = bounded_sample(clear_labels(labels, "toxic").where(~held), sample_rows)
     # three of four rows make the lexicon and the trees, the fourth calibrates them
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(4)).cast("int").alias("part")
-    sample = only.join(F.broadcast(chosen), "doc_id").select("text", "y", part)
+    found = only.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = scratch.keep(found.select("text", "y", part))
     seeds = frozenset(w.encode() for w in INSULTS)
     # a word's odds are learned on other rows than those from which the trees learn their worth
     learned = learn_lexicon(sample.where("part < 2").select("text", "y"))
