@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, dropping
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality_classifier import quality_filter
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, from the whole `documents` table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with dropping():  # a stage's own tables go once its result is written
+            docs, path = scratch.put(stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = path
     return docs
