@@ -39,10 +39,11 @@ from corpusloom.llm.common import Scratch, unused
 
 #: Words in a run whose hash may be an anchor; a power of two.
 RUN = 8
-#: Segments from which on an anchor's windows are dealt out by their own hash.
-HOT = 2000
+#: Segments from which on an anchor's windows are dealt out by their own hash. That makes up to 43 rows of a segment,
+#: while a shard of this size is some 30 MB of words and, in a task, seconds for each automaton.
+HOT = 20_000
 #: Distinct segments in an automaton at most; a shard takes as many automata as it needs.
-AUTOMATON = 500
+AUTOMATON = 1000
 #: Windows in a segment at most.
 LONGEST = 256
 #: Distinct words whose hashes a task remembers.

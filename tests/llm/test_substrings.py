@@ -47,7 +47,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot, automaton", [(S.HOT, S.AUTOMATON), (3, 500), (2000, 2), (0, 1), (8, 1)])
+@pytest.mark.parametrize("hot, automaton", [(S.HOT, S.AUTOMATON), (3, 1000), (20_000, 2), (0, 1), (8, 1)])
 def test_by_brute_force(spark, hot, automaton):
     texts = corpus(random.Random(9))
     ids = list(range(len(texts)))
@@ -70,7 +70,7 @@ def test_automaton_by_windows():
         assert a.first_keys(p, 5) == [seen.get(tuple(p[i : i + 5])) for i in range(len(p) - 4)]
 
 
-@pytest.mark.parametrize("hot, automaton", [(2000, 500), (1, 1)])
+@pytest.mark.parametrize("hot, automaton", [(20_000, 1000), (1, 1)])
 def test_extreme_ids(spark, hot, automaton):
     rng = random.Random(17)
     passage = " ".join(words(rng, 80, 5000))
