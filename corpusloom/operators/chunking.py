@@ -1,17 +1,19 @@
 """Pages to overlapping chunks with their page of origin.
 
-A document's cleaned pages are joined by a blank line. Chunk starts have a closed form, so splitting
-is one explode of a sequence, and a chunk's page is found in the row's own array of page ends: no
-range join. Documents of one page need no shuffle at all.
+A document's cleaned pages are joined by a blank line. Where each page starts is a running sum over
+its document, so a page knows the chunks that it has a part in: each page is cut once, and a chunk's
+parts meet by (document, chunk) in the partition where they already are. Documents of one page need
+no shuffle at all. All of it takes time in proportion to the text, however long a document is.
 
 Pages come as (document_id, doc_ord, document_name, source_type, page_number, content) with optional
 `metadata` (of the document) and `page_metadata` maps; chunks leave with a `chunk_ord` that orders
-the whole collection and breaks ties between scores.
+the whole collection and breaks ties between scores. Pages go by number, those without one first;
+pages of one number go by their text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import whole
@@ -20,8 +22,26 @@ from corpusloom.functions.text import clean_text
 
 #: Between the pages of a document.
 JOINT = "\n\n"
-#: Chunks of one document that chunk_ord tells apart.
-ORD_STEP = 1 << 20
+#: Chunks of one document that chunk_ord tells apart; a document of more (13 GB of text at the default size) ends the job.
+ORD_STEP = 1 << 24
+
+
+def _rows(pages: DataFrame, clean: bool) -> DataFrame:
+    """The pages' columns, with content `c`."""
+    content = clean_text("content") if clean else F.coalesce("content", F.lit(""))
+    none = F.lit(None).cast("map<string,string>")
+    meta = F.col("metadata") if "metadata" in pages.columns else none
+    page_meta = F.col("page_metadata") if "page_metadata" in pages.columns else none
+    return pages.select("document_id", "doc_ord", "document_name", "source_type", meta.alias("metadata"), "page_number", page_meta.alias("page_metadata"), content.alias("c"))
+
+
+def _placed(pages: DataFrame, clean: bool) -> DataFrame:
+    """Each page with start and end in its document's text; empty pages take no place."""
+    ordered = Window.partitionBy("document_id").orderBy("page_number", "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    long = F.when(F.col("c") != "", F.length("c").cast("long") + len(JOINT)).otherwise(0)
+    rows = _rows(pages, clean).withColumn("after", F.sum(long).over(ordered))
+    end = F.when(F.col("c") != "", F.col("after") - len(JOINT)).cast("int")
+    return rows.withColumn("end", end).withColumn("start", (F.col("end") - F.length("c")).cast("int")).drop("after")
 
 
 def page_boundaries(pages: DataFrame, clean: bool = True) -> DataFrame:
@@ -29,33 +49,20 @@ def page_boundaries(pages: DataFrame, clean: bool = True) -> DataFrame:
 
     Empty pages are dropped; starts and ends don't include the joints.
     """
-    content = clean_text("content") if clean else F.coalesce("content", F.lit(""))
-    none = F.lit(None).cast("map<string,string>")
-    meta = F.col("metadata") if "metadata" in pages.columns else none
-    page_meta = F.col("page_metadata") if "page_metadata" in pages.columns else none
-    rows = pages.select("document_id", "doc_ord", "document_name", "source_type", meta.alias("metadata"), "page_number", page_meta.alias("m"), content.alias("c"))
-    order = F.array_sort(F.collect_list(F.when(F.col("c") != "", F.struct("page_number", "c"))))
-    metas = F.map_from_entries(F.collect_list(F.when(F.col("c") != "", F.struct("page_number", "m"))))
-    found = rows.groupBy("document_id").agg(
+    entries = F.array_sort(F.map_entries("page_metadata"))  # a map has no order, and would end the sort
+    page = F.when(F.col("c") != "", F.struct("start", "end", "page_number", entries.alias("entries"), "c"))
+    found = _placed(pages, clean).groupBy("document_id").agg(
         F.min("doc_ord").alias("doc_ord"), F.min("document_name").alias("document_name"), F.min("source_type").alias("source_type"),
-        F.first("metadata", True).alias("metadata"), order.alias("p"), metas.alias("ms"),
+        F.first("metadata", True).alias("metadata"), F.array_sort(F.collect_list(page)).alias("p"),
     )
-    # ends by a running sum over the row's own pages
-    found = found.withColumn(
-        "ends", F.expr("aggregate(p, cast(array() as array<int>), (acc, x) -> concat(acc, array(if(size(acc) = 0, 0, element_at(acc, -1) + 2) + length(x.c))))")
-    )
-    bounds = F.expr("transform(p, (x, i) -> struct(ends[i] - length(x.c) as start, ends[i] as end, x.page_number as page_number, ms[x.page_number] as page_metadata))")
     text = F.array_join(F.transform("p", lambda x: x["c"]), JOINT)
+    bounds = F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["page_number"].alias("page_number"), F.map_from_entries(x["entries"]).alias("page_metadata")))
     return found.select("document_id", "doc_ord", "document_name", "source_type", "metadata", text.alias("text"), bounds.alias("bounds"))
 
 
 def single_pages(pages: DataFrame, clean: bool = True) -> DataFrame:
     """page_boundaries for documents of one page each, without a shuffle."""
-    content = clean_text("content") if clean else F.coalesce("content", F.lit(""))
-    none = F.lit(None).cast("map<string,string>")
-    meta = F.col("metadata") if "metadata" in pages.columns else none
-    page_meta = F.col("page_metadata") if "page_metadata" in pages.columns else none
-    rows = pages.select("document_id", "doc_ord", "document_name", "source_type", meta.alias("metadata"), "page_number", page_meta.alias("page_metadata"), content.alias("text"))
+    rows = _rows(pages, clean).withColumnRenamed("c", "text")
     one = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), "page_number", "page_metadata"))
     return rows.withColumn("bounds", F.when(F.col("text") != "", one).otherwise(F.filter(one, lambda b: F.lit(False)))).drop("page_number", "page_metadata")
 
@@ -65,10 +72,15 @@ def segments(text: Column, size: int, overlap: int) -> Column:
     whole("chunk_size", size, 1)
     whole("chunk_overlap", overlap, 0, size - 1)
     step = size - overlap
-    n = F.length(text)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.lit(step)).cast("int"))
-    starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("content")))
+    # one pass: at every step a look ahead takes a window; the last ones may hold no more than the one before
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    kept = F.slice(windows, 1, F.greatest(F.lit(0), chunk_count(F.length(text), size, step)))
+    return F.transform(kept, lambda w, i: F.struct((i * step).alias("start"), w.alias("content")))
+
+
+def chunk_count(length: Column, size: int, step: int) -> Column:
+    """The chunks of a text of `length` characters."""
+    return F.when(length == 0, 0).when(length <= size, 1).otherwise(1 + F.ceil((length - size) / F.lit(step))).cast("int")
 
 
 def page_at(bounds: Column, offset: Column) -> Column:
@@ -77,13 +89,52 @@ def page_at(bounds: Column, offset: Column) -> Column:
     return F.coalesce(F.get(behind, F.lit(0)), F.get(bounds, F.size(bounds) - 1))
 
 
-def chunk_documents(pages: DataFrame, size: int = 1000, overlap: int = 200, one_page: bool = False, clean: bool = True) -> DataFrame:
-    """The chunks of all documents; a document without text has none."""
-    docs = single_pages(pages, clean) if one_page else page_boundaries(pages, clean)
+def _chunks_of_single_pages(pages: DataFrame, size: int, overlap: int, clean: bool) -> DataFrame:
+    docs = single_pages(pages, clean)
     # the text is a column of its own by now, so each window reads it instead of cleaning it again
     cut = docs.select("*", F.posexplode(segments(F.col("text"), size, overlap)).alias("chunk_index", "s"))
-    cut = cut.withColumn("page", page_at(F.col("bounds"), F.col("s.start")))
-    content = F.col("s.content")
+    return cut.withColumn("page", F.get("bounds", F.lit(0))).withColumn("start", F.col("s.start")).withColumn("content", F.col("s.content"))
+
+
+def _chunks_of_pages(pages: DataFrame, size: int, overlap: int, clean: bool) -> DataFrame:
+    """A page's part in a chunk is cut from the page and the joint behind it; parts are put together where the document already is."""
+    whole("chunk_size", size, 1)
+    whole("chunk_overlap", overlap, 0, size - 1)
+    step = size - overlap
+    every = Window.partitionBy("document_id")
+    docs = _placed(pages, clean).select(
+        "document_id", "page_number", "page_metadata", "c", "start", "end", F.max("end").over(every).alias("n"), F.min("doc_ord").over(every).alias("doc_ord"),
+        F.min("document_name").over(every).alias("document_name"), F.min("source_type").over(every).alias("source_type"), F.first("metadata", True).over(every).alias("metadata"),
+    ).where("c <> ''")
+    start, end = F.col("start"), F.col("end")
+    beyond = F.when(end < F.col("n"), end + len(JOINT)).otherwise(end)  # with the joint, but behind the last page
+    # also those that begin in the joint before it: they are the page's, even if they end there too
+    first = F.greatest(F.lit(0), F.least(F.floor((start - size) / step) + 1, F.ceil((start - len(JOINT)) / step))).cast("int")
+    last = F.least(F.ceil(beyond / step) - 1, chunk_count(F.col("n"), size, step) - 1).cast("int")
+    # blocks of many steps keep a cut from walking over the whole page; each is a few chunks longer than its steps
+    held = F.when(end < F.col("n"), F.concat("c", F.lit(JOINT))).otherwise(F.col("c"))
+    wide = 16 * step
+    blocks = F.regexp_extract_all(held, F.lit(f"(?s)(?=(.{{1,{wide + size}}})).{{1,{wide}}}"), F.lit(1))
+    docs = docs.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("blocks", blocks)
+    parts = docs.select("*", F.explode(F.sequence("first", "last")).alias("chunk_index"))
+    origin = F.col("chunk_index") * step - start  # where the chunk begins in the page; negative: in an earlier one
+    cut = F.greatest(origin, F.lit(0))
+    block = F.element_at("blocks", (F.floor(cut / wide) + 1).cast("int"))
+    parts = parts.withColumn("part", F.substring(block, (cut % wide + 1).cast("int"), (F.lit(size) + F.least(origin, F.lit(0))).cast("int")))
+    # the first page that ends behind a chunk's start is its page, so a joint belongs to the next page
+    begins = F.when((F.col("chunk_index") * step < end) & ((origin >= -len(JOINT)) | (start == 0)), F.struct("page_number", "page_metadata"))
+    found = parts.groupBy("document_id", "chunk_index").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda p: p["part"]), "").alias("content"), F.first(begins, True).alias("page"),
+        *[F.first(c).alias(c) for c in ("doc_ord", "document_name", "source_type", "metadata")],
+    )
+    return found.withColumn("start", F.col("chunk_index") * step)
+
+
+def chunk_documents(pages: DataFrame, size: int = 1000, overlap: int = 200, one_page: bool = False, clean: bool = True) -> DataFrame:
+    """The chunks of all documents; a document without text has none."""
+    cut = (_chunks_of_single_pages if one_page else _chunks_of_pages)(pages, size, overlap, clean)
+    index, content = F.col("chunk_index"), F.col("content")
+    placed = F.when(index < ORD_STEP, F.col("doc_ord") * ORD_STEP + index).otherwise(F.raise_error(F.lit(f"a document has more than {ORD_STEP} chunks")).cast("long"))
     return cut.select(
         F.concat_ws("#", "document_id", "chunk_index").alias("chunk_id"),
         "document_id",
@@ -91,8 +142,8 @@ def chunk_documents(pages: DataFrame, size: int = 1000, overlap: int = 200, one_
         "source_type",
         F.col("page.page_number").alias("page_number"),
         "chunk_index",
-        (F.col("doc_ord") * ORD_STEP + F.col("chunk_index")).alias("chunk_ord"),
-        F.col("s.start").alias("start"),
+        placed.alias("chunk_ord"),
+        F.col("start").alias("start"),
         content.alias("content"),
         chunk_metadata(F.col("metadata"), F.col("page.page_metadata"), F.length(content), size, overlap).alias("metadata"),
     )

@@ -9,7 +9,7 @@ from corpusloom.plans.queries import DIRT
 _BLANKS = r"\x{9}\x{B}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SPACES = _BLANKS + r"\x{A}"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_ORD = 1 << 20
+_ORD = 1 << 24
 
 
 def _lit(s: str) -> str:
