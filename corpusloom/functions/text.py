@@ -107,18 +107,39 @@ def char_error_rate(reference: Column | str, hypothesis: Column | str) -> Column
     return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(r, h) / F.length(r))
 
 
-def word_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
-    """As char_error_rate, over words: each distinct word of the pair becomes one character first."""
-    r = F.filter(F.split(fold_text(reference), " "), lambda w: w != "")
-    h = F.filter(F.split(fold_text(hypothesis), " "), lambda w: w != "")
-    words = F.array_distinct(F.concat(r, h))
+#: Code points that stand for words: letters of their own, without the surrogates.
+_CODES = (range(0x4E00, 0xD800), range(0xE000, 0x110000))
+WORDS_MOST = sum(map(len, _CODES))
+
+
+def word_codes(reference: Column, hypothesis: Column) -> Column:
+    """struct<r,h,n>: both texts with each distinct word of the pair as one character, and the words of the first.
+
+    A dictionary takes time in proportion to the words, in Arrow batches; expressions over arrays would
+    search all words for each. Null codes for a pair of more than WORDS_MOST distinct words.
+    """
 
-    def coded(side: Column) -> Column:
-        # code points from U+4E00 on are letters of their own, whatever the words were
-        return F.array_join(F.transform(side, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w).cast("int") + 0x4E00), 8, "0")), "UTF-32")), "")
+    @F.pandas_udf("struct<r:string,h:string,n:int>")
+    def run(references: pd.Series, hypotheses: pd.Series) -> pd.DataFrame:
+        out = []
+        for texts in zip(references, hypotheses, strict=True):
+            sides = [[w for w in t.split(" ") if w] for t in texts]
+            codes = {w: i for i, w in enumerate(dict.fromkeys(w for side in sides for w in side))}
+            if len(codes) > WORDS_MOST:
+                out.append((None, None, len(sides[0])))
+                continue
+            first = len(_CODES[0])
+            out.append((*("".join(chr(_CODES[0][c] if (c := codes[w]) < first else _CODES[1][c - first]) for w in side) for side in sides), len(sides[0])))
+        return pd.DataFrame(out, columns=["r", "h", "n"])
 
-    n = F.size(r)
-    return F.when(n == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(r), coded(h)) / n)
+    return run(reference, hypothesis)
+
+
+def word_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
+    """As char_error_rate, over words: each distinct word of the pair becomes one character first."""
+    coded = word_codes(fold_text(reference), fold_text(hypothesis))
+    n = coded["n"]
+    return F.when(n == 0, F.when(F.length(coded["h"]) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded["r"], coded["h"]) / n)
 
 
 def normalize_text(text: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import real, top_k_or
 from corpusloom.functions.text import STOP_WORDS, keyword_query, query_error, tokenize
+from corpusloom.operators.store import ChunkStore
 
 #: Rows of a question side that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -52,6 +53,14 @@ def build_index(chunks: DataFrame, stop_words: tuple[str, ...] | None = STOP_WOR
     return Bm25Index(tokens, corpus, stop_words, k1, b)
 
 
+def build_index_from_store(store: ChunkStore, stop_words: tuple[str, ...] | None = STOP_WORDS, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
+    """Index of the chunks that a store holds now; of an empty store one without chunks."""
+    chunks = store.read()
+    if chunks is None:
+        chunks = store.spark.createDataFrame([], "chunk_ord bigint, content string")
+    return build_index(chunks, stop_words, k1, b)
+
+
 @dataclass(frozen=True)
 class StoredBm25Index(Bm25Index):
     """An index read back from a folder: postings sorted by term, so a few terms prune the files they read."""

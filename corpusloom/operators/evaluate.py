@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import char_error_rate
+from corpusloom.functions.text import char_error_rate, strip, word_error_rate
 
 
 def per_query(hits: DataFrame, expected: DataFrame, questions: DataFrame) -> DataFrame:
@@ -43,6 +43,38 @@ def per_query(hits: DataFrame, expected: DataFrame, questions: DataFrame) -> Dat
     )
 
 
+#: Words of a needle by which documents are searched for it, and needles too short for that, at most.
+NEEDLE_WORDS, SHORT_NEEDLES = 3, 10_000
+
+
+def containing(documents: DataFrame, needles: DataFrame) -> DataFrame:
+    """(query_id, document_name) of the documents (document_name, text) that contain a needle (query_id, needle).
+
+    A text that contains a needle has its inner words in turn (the outer ones may be parts of longer
+    words). So a hash of three inner words leads to the documents worth a look, by joins on that hash
+    and on the name; needles of fewer words are few, which is checked, and are broadcast.
+    """
+    n = NEEDLE_WORDS
+
+    def words(c: str) -> Column:
+        return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+    inner = needles.select("query_id", "needle", words("needle").alias("w"))
+    long, short = inner.where(F.size("w") >= n + 2), inner.where((F.size("w") < n + 2) & (F.col("needle") != ""))
+    asked = long.select("query_id", "needle", F.xxhash64(*[F.col("w")[i + 1] for i in range(n)]).alias("h"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(n)]))
+    places = documents.select("document_name", words("text").alias("w")).where(F.size("w") >= n).select("document_name", F.explode(runs).alias("h"))
+    met = places.join(asked.select("query_id", "h"), "h").select("document_name", "query_id").distinct()
+    texts = documents.where("text is not null")
+    found = met.join(texts, "document_name").join(asked.select("query_id", "needle"), "query_id").where(F.contains("text", F.col("needle"))).select("query_id", "document_name")
+    few = short.limit(SHORT_NEEDLES + 1).count()
+    if few > SHORT_NEEDLES:
+        raise ValueError(f"more than {SHORT_NEEDLES} needles are shorter than {n + 2} words")
+    if few:
+        found = found.union(texts.join(F.broadcast(short), F.contains("text", F.col("needle"))).select("query_id", "document_name"))
+    return found.distinct()
+
+
 def _summary() -> list[Column]:
     relevant = F.col("relevant")
 
@@ -105,8 +137,30 @@ def mode_comparison(summaries: DataFrame, measures: list[str], pairs: tuple[tupl
 
 
 def macro_error(pairs: DataFrame) -> DataFrame:
-    """(reference, hypothesis) to the unweighted mean of the character error rates."""
-    return pairs.agg(F.count("*").alias("n"), F.avg(char_error_rate("reference", "hypothesis")).alias("macro_cer"))
+    """(reference, hypothesis) to the unweighted means of the character and the word error rates."""
+    return pairs.agg(F.count("*").alias("n"), F.avg(char_error_rate("reference", "hypothesis")).alias("macro_cer"), F.avg(word_error_rate("reference", "hypothesis")).alias("macro_wer"))
+
+
+def recognition_errors(documents: DataFrame) -> DataFrame:
+    """(doc, n_pages, reference_chars, hypothesis_chars, cer, wer, page_cers) of (doc, reference, pages array<string>).
+
+    The pages, joined by blank lines, are held against the whole reference. Where there are several,
+    each is also held against the reference's part of the same number between blank lines; a page
+    beyond those parts against nothing.
+    """
+    rows = documents.select("doc", F.coalesce("reference", F.lit("")).alias("reference"), F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit(""))).alias("pages"))
+    rows = rows.withColumn("hypothesis", F.array_join("pages", "\n\n"))
+    truth = F.filter(F.split("reference", "\n\n"), lambda p: strip(p) != "")
+    # an array of pairs, not a join: a document's pages are in its row
+    each = F.transform("pages", lambda p, i: F.struct(p.alias("p"), F.coalesce(F.get(truth, i), F.lit("")).alias("r")))
+    paged = rows.where(F.size("pages") > 1).select("doc", F.posexplode(each).alias("i", "x")).groupBy("doc").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", F.round(char_error_rate(F.col("x.r"), F.col("x.p")), 4).alias("cer")))), lambda x: x["cer"]).alias("page_cers")
+    )
+    out = rows.select(
+        "doc", F.size("pages").alias("n_pages"), F.length("reference").alias("reference_chars"), F.length("hypothesis").alias("hypothesis_chars"),
+        char_error_rate("reference", "hypothesis").alias("cer"), word_error_rate("reference", "hypothesis").alias("wer"),
+    )
+    return out.join(paged, "doc", "left")
 
 
 def token_presence(text: Column, tokens: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.functions.text import STOP_WORDS
 from corpusloom.operators.answer import RULE
-from corpusloom.plans.queries import DIRT
+from corpusloom.plans.queries import DIRT, GATE
 
 _BLANKS = r"\x{9}\x{B}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SPACES = _BLANKS + r"\x{A}"
@@ -48,6 +48,11 @@ def _cut(source: str, size: int, overlap: int, keep: str) -> str:
   SELECT *, unnest(range(0, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= {size} THEN 1 ELSE 1 + ceil((len(t) - {size}) / {step}.0)::BIGINT END)) AS i FROM {source}))"""
 
 
+def _coded(side: str) -> str:
+    """Words as single ASCII characters by their place in d; a pair here has fewer than 90."""
+    return f"array_to_string(list_transform({side}, lambda w: chr(32 + list_position(d, w))), '')"
+
+
 #: Chunks of documents: doc_id, chunk_index, chunk_id, chunk_ord, content.
 _CHUNKS = f"""cleaned AS MATERIALIZED (SELECT doc_id, lang, source, n_chars, {_clean("coalesce(text, '')")} AS t FROM documents),
 chunks AS MATERIALIZED (SELECT doc_id, lang, source, i AS chunk_index, doc_id || '#' || i AS chunk_id, doc_id * {_ORD} + i AS chunk_ord, content
@@ -156,13 +161,44 @@ _WORDS = """w AS (SELECT item_id AS doc, unnest(list_filter(regexp_split_to_arra
 good AS (SELECT doc, word, i, i // 24 AS block, (i // 12) % 2 AS par, (i // 4) % 3 AS line, (i % 4) * 100 + CASE WHEN i % 7 = 3 THEN 60 ELSE 0 END AS l, CASE WHEN i % 9 = 8 THEN -1 ELSE 90 - i % 9 END AS conf, i % 17 = 16 AS broken FROM w)"""
 
 
-def _pack() -> str:
+def _pack(source: str) -> str:
     header = "'[Chunk ' || i || '] | Document: ' || document_name || ' | Page: ' || page_number || ' | Chunk ID: ' || chunk_id || chr(10) || content"
     return f"""packed AS (SELECT *, sum(len(p) + CASE WHEN i > 1 THEN {len(RULE)} ELSE 0 END) OVER (PARTITION BY query_id ORDER BY i) AS chars FROM (
-  SELECT *, {header} AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM {_named(10)}))),
+  SELECT *, {header} AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM {source}))),
 context AS (SELECT query_id, string_agg(p, {_lit(RULE)} ORDER BY i) AS context, count(*) AS n_used FROM packed WHERE i = 1 OR chars <= 3000 GROUP BY query_id)"""
 
 
+def _answers(source: str, cited: str) -> str:
+    """Reports on all questions of hits with names, and how a source is cited."""
+    return f"""{_pack(source)}, n AS (SELECT query_id, count(*) AS n_hits, list({cited} ORDER BY rank) AS sources FROM {source} GROUP BY query_id)
+SELECT qs.query_id, CASE WHEN n_used IS NULL THEN 'insufficient_context' ELSE 'ok' END AS status, CASE WHEN n_used IS NOT NULL THEN {_strip("(SELECT content FROM packed WHERE packed.query_id = qs.query_id AND i = 1)")} END AS answer, coalesce(n_hits, 0) AS n_hits, coalesce(n_used, 0) AS n_used, coalesce(sources, []) AS sources
+FROM qs LEFT JOIN n USING (query_id) LEFT JOIN context USING (query_id)"""
+
+
+_OVERLAP = f"coalesce(len(list_intersect(list_distinct({_tokens('query', False)}), {_tokens('content', False)})) / nullif(len(list_distinct({_tokens('query', False)})), 0), 0)"
+
+
+def _reranked(hits: str, k: int) -> str:
+    """The k best of hits (query_id, rank, chunk_ord) by the share of the question's words."""
+    return f"""(SELECT * FROM (SELECT * EXCLUDE (r0), row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, r0, chunk_id)::INT AS rank FROM (
+  SELECT h.query_id, h.rank AS r0, c.chunk_ord, c.doc_id, c.chunk_id, c.content, 'doc-' || c.doc_id AS document_name, 1 AS page_number, {_OVERLAP} AS rr FROM {hits} h JOIN chunks c USING (chunk_ord) JOIN qs USING (query_id))) WHERE rank <= {k})"""
+
+
+_DENSE_20 = _top("dense", 20, f"score >= {GATE}")
+_WORDS_20 = _top("scored", 20)
+_FUSED_20 = _fused(_ids(_DENSE_20), _ids(_WORDS_20), (1.0, 1.0), 20)
+
+
+def _first(hits: str, k: int) -> str:
+    return f"(SELECT * FROM {hits} WHERE rank <= {k})"
+
+
+_MODES = {"semantic": _first(_DENSE_20, 5), "semantic_rerank": _reranked(_DENSE_20, 5), "keyword": _first(_WORDS_20, 5), "hybrid": _first(_FUSED_20, 5), "hybrid_rerank": _reranked(_FUSED_20, 5)}
+
+_READ = """r0 AS (SELECT item_id AS k, list_filter(regexp_split_to_array(regexp_replace(text, '[^\\x00-\\x7F]', 'e', 'g'), '[ \\n]+'), lambda x: x <> '') AS w FROM benchmark),
+r1 AS (SELECT k, array_to_string(w[:(len(w) + 1) // 2], ' ') AS a, array_to_string(w[(len(w) + 1) // 2 + 1:], ' ') AS b FROM r0),"""
+
+
 ORACLES: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_clean(f'{_lit(DIRT[0][0])} || replace(replace(text, {_lit(DIRT[1][0])}, {_lit(DIRT[1][1])}), {_lit(DIRT[2][0])}, {_lit(DIRT[2][1])}) || chr(8203) || {_lit(chr(32) + chr(10))}')} AS clean FROM documents",
     "tokenize": f"SELECT doc_id, len(ws)::INT AS n_tokens, array_to_string(ws, ' ') AS tokens FROM (SELECT doc_id, {_tokens('text')} AS ws FROM documents)",
@@ -199,36 +235,49 @@ SELECT item_id, round(levenshtein(array_to_string(list_transform(r, lambda w: ch
     "rrf_fusion": f"""WITH {_VECTORS}, same AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_ord, 1.0 AS score FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, chunk_id, round(s, 8) AS score, semantic_rank, keyword_rank FROM {_fused(f"(SELECT *, lpad(chunk_ord::VARCHAR, 9, '0') AS chunk_id FROM {_top(_pairs(50), 20, 'true')})", f"(SELECT *, lpad(chunk_ord::VARCHAR, 9, '0') AS chunk_id FROM {_top('same', 20)})", (1.0, 0.5), 15)}""",
     "hybrid_topk": f"{_HYBRID} SELECT query_id, rank, chunk_id, round(s, 8) AS score FROM {_BOTH}",
-    "hybrid_weighted": f"WITH {_SCORES} SELECT query_id, rank, chunk_id, round(s, 8) AS score FROM {_fused(None, _ids(_top('scored', 20)), (0.0, 2.0), 10)}",
+    "hybrid_weighted": f"{_HYBRID} SELECT query_id, rank, chunk_id, round(s, 8) AS score FROM {_fused(_ids(_top('dense', 20, 'true')), _ids(_top('scored', 20)), (0.5, 2.0), 10)}",
+    "hybrid_one_sided": f"WITH {_SCORES} SELECT query_id, rank, chunk_id, round(s, 8) AS score FROM {_fused(None, _ids(_top('scored', 20)), (0.0, 2.0), 10)}",
     "rerank_candidates": f"WITH {_SCORES} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM {_named(20)}",
-    "rerank_topk": f"""WITH {_SCORES}, c AS (SELECT h.*, coalesce(len(list_intersect(list_distinct({_tokens('query', False)}), {_tokens('content', False)})) / nullif(len(list_distinct({_tokens('query', False)})), 0), 0) AS rr FROM {_named(20)} h JOIN qs USING (query_id))
+    "rerank_topk": f"""WITH {_SCORES}, c AS (SELECT h.*, {_OVERLAP} AS rr FROM {_named(20)} h JOIN qs USING (query_id))
 SELECT query_id, r AS rank, chunk_id, round(score, 6) AS retrieval_score, round(rr, 6) AS reranker_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, rank, chunk_id)::INT AS r FROM c) WHERE r <= 5""",
-    "relevance_gate": f"""WITH {_VECTORS}, h AS (SELECT query_id, count(*) AS n FROM {_top(_pairs(20), 10, 'true')} WHERE round(score, 6) >= 0.35 GROUP BY query_id)
+    "relevance_gate": f"""WITH {_VECTORS}, h AS (SELECT query_id, count(*) AS n FROM {_top(_pairs(10), 10, 'true')} WHERE round(score, 6) >= 0.35 GROUP BY query_id)
 SELECT vec_id AS query_id, coalesce(n, 0) AS n_hits, CASE WHEN n > 0 THEN 'ok' ELSE 'insufficient_context' END AS status FROM embeddings LEFT JOIN h ON query_id = vec_id WHERE vec_id % 10 = 0""",
-    "context_pack": f"WITH {_SCORES}, {_pack()} SELECT * FROM context",
+    "context_pack": f"WITH {_SCORES}, {_pack(_named(10))} SELECT * FROM context",
     "format_sources": f"""WITH {_SCORES}, h AS (SELECT query_id, rank, round(score, 6) AS score, chunk_ord // {_ORD} AS doc FROM {_top('scored', 10)}),
 o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY rank) = 1)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS position, 'c' || doc AS chunk_id, doc::VARCHAR AS document_id, 'doc-' || doc AS document_name, nullif(doc % 4, 0)::INT AS page_number, score, CASE WHEN doc % 3 > 0 THEN (doc % 3)::DOUBLE END AS reranker_score FROM o""",
-    "answer_report": f"""WITH {_SCORES}, {_pack()}, n AS (SELECT query_id, count(*) AS n_hits, list(chunk_id ORDER BY rank) AS sources FROM {_named(10)} GROUP BY query_id)
-SELECT qs.query_id, CASE WHEN n_used IS NULL THEN 'insufficient_context' ELSE 'ok' END AS status, CASE WHEN n_used IS NOT NULL THEN {_strip("(SELECT content FROM packed WHERE packed.query_id = qs.query_id AND i = 1)")} END AS answer, coalesce(n_hits, 0) AS n_hits, coalesce(n_used, 0) AS n_used, coalesce(sources, []) AS sources
-FROM qs LEFT JOIN n USING (query_id) LEFT JOIN context USING (query_id)""",
+    "answer_report": f"WITH {_SCORES}, {_answers(_named(10), 'chunk_id')}",
+    "answer_semantic": f"{_HYBRID}, best AS MATERIALIZED {_reranked(_DENSE_20, 5)}, {_answers('best', "chunk_id || '#1'")}",
+    "answer_keyword": f"WITH {_SCORES}, best AS MATERIALIZED {_reranked(_WORDS_20, 5)}, {_answers('best', "chunk_id || '#1'")}",
+    "answer_hybrid": f"{_HYBRID}, best AS MATERIALIZED {_reranked(_FUSED_20, 5)}, {_answers('best', "chunk_id || '#1'")}",
     "scan_chunks": f"WITH {_ROWS} SELECT chunk_id, document_id, coalesce(document_name, 'unknown_file') AS document_name, coalesce(content, '') AS content, 0.0::DOUBLE AS score FROM rows_",
-    "upsert_last_wins": f"""WITH {_ROWS}, b AS (SELECT (batch_pos - batch_pos % 32)::VARCHAR AS chunk_id, document_id, document_name, 'new' AS content, batch_pos FROM rows_ WHERE batch_pos % 4 = 0 QUALIFY row_number() OVER (PARTITION BY batch_pos - batch_pos % 32 ORDER BY batch_pos DESC) = 1)
-SELECT * FROM rows_ WHERE batch_pos % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM b) UNION ALL SELECT * FROM b""",
+    "upsert_last_wins": f"""WITH {_ROWS}, k AS (SELECT *, CASE WHEN batch_pos % 64 = 0 THEN -batch_pos ELSE batch_pos - batch_pos % 32 END AS k FROM rows_ WHERE batch_pos % 4 = 0),
+b AS (SELECT k::VARCHAR AS chunk_id, document_id, document_name, 'new' AS content, batch_pos FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY batch_pos DESC) = 1)
+SELECT * FROM rows_ WHERE chunk_id NOT IN (SELECT chunk_id FROM b) UNION ALL SELECT * FROM b""",
     "reindex_replace": f"""WITH {_ROWS}, b AS (SELECT * FROM rows_ WHERE batch_pos % 50 = 1), a AS (SELECT document_id, content FROM rows_ WHERE document_id NOT IN (SELECT document_id FROM b) UNION ALL SELECT document_id, 'again' FROM b)
 SELECT document_id, count(*) AS n, count(*) FILTER (content = 'again') AS again FROM a GROUP BY document_id""",
     "delete_document": f"WITH {_ROWS} SELECT count(*) FILTER (document_id <> '7') AS remaining, count(*) FILTER (document_id = '7') AS removed FROM rows_",
     "store_count": f"WITH {_CHUNKS} SELECT count(*) AS n FROM chunks",
     "indexing_report": f"WITH {_CHUNKS} SELECT d.doc_id::VARCHAR AS document_id, 'doc-' || d.doc_id AS document_name, 1::BIGINT AS n_pages, count(c.doc_id) AS n_chunks, CASE WHEN count(c.doc_id) > 0 THEN 'ok' ELSE 'no_chunks' END AS status FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id",
+    "index_from_store": f"WITH {_INDEX} SELECT count(*) FILTER (doc_id <> 0) AS n, round(sum(len(ws)) FILTER (doc_id <> 0) / count(*) FILTER (doc_id <> 0), 6) AS avgdl FROM toks",
     "eval_per_query": f"WITH {_SCORES}, {_EXPECTED} SELECT query_id, category, relevant, n_returned, round(hit, 6) AS hit, round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank, rejected FROM {_KEYWORD_MEASURES}",
     "eval_summary": f"WITH {_SCORES}, {_EXPECTED} SELECT {_SUMMARY} FROM {_KEYWORD_MEASURES}",
     "eval_by_category": f"WITH {_SCORES}, {_EXPECTED} SELECT category, {_SUMMARY} FROM {_KEYWORD_MEASURES} GROUP BY category",
-    "eval_mode_comparison": f"""{_HYBRID}, {_EXPECTED}, s AS (SELECT 'semantic' AS mode, {_SUMMARY} FROM {_measures(_top("dense", 5, "score >= 0.9"))} UNION ALL SELECT 'hybrid', {_SUMMARY} FROM {_measures(_fused(_ids(_top("dense", 20, "true")), _ids(_top("scored", 20)), (1.0, 1.0), 5))}),
+    "eval_mode_comparison": f"""{_HYBRID}, {_EXPECTED}, s AS ({" UNION ALL ".join(f"SELECT '{m}' AS mode, {_SUMMARY} FROM {_measures(h)}" for m, h in _MODES.items())}),
 l AS (UNPIVOT (SELECT mode, hit_rate, recall, precision, mrr, rejection_rate FROM s) ON hit_rate, recall, precision, mrr, rejection_rate INTO NAME measure VALUE value)
-SELECT l.mode, l.measure, l.value, round(l.value - b.value, 6) AS overhead FROM l LEFT JOIN l b ON l.mode = 'hybrid' AND b.mode = 'semantic' AND b.measure = l.measure""",
+SELECT l.mode, l.measure, l.value, round(l.value - b.value, 6) AS overhead FROM l LEFT JOIN l b ON l.mode = b.mode || '_rerank' AND b.measure = l.measure""",
     "latency_percentiles": """SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(list_sort(list(value))[least((count(*) * 95) // 100, count(*) - 1) + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""",
     "timing_stats": "SELECT event_type, round(avg(v), 2) AS mean, round(median(v), 2) AS median, round(min(v), 2) AS min, round(max(v), 2) AS max FROM (SELECT event_type, round(value, 1) AS v FROM events) GROUP BY event_type",
-    "ocr_macro_error": f"SELECT count(*) AS n, round(avg(levenshtein(r, h) / len(r)), 6) AS macro_cer FROM (SELECT {_fold('r')} AS r, {_fold(_SPOILED.format('r'))} AS h FROM (SELECT {_ASCII} AS r FROM benchmark))",
+    "ocr_macro_error": f"""WITH t AS (SELECT {_fold('r')} AS r, {_fold(_SPOILED.format('r'))} AS h FROM (SELECT {_ASCII} AS r FROM benchmark)),
+p AS (SELECT *, string_split(r, ' ') AS rw, string_split(h, ' ') AS hw, list_distinct(string_split(r, ' ') || string_split(h, ' ')) AS d FROM t)
+SELECT count(*) AS n, round(avg(levenshtein(r, h) / len(r)), 6) AS macro_cer, round(avg(levenshtein({_coded('rw')}, {_coded('hw')}) / len(rw)), 6) AS macro_wer FROM p""",
+    "ocr_evaluation": f"""WITH {_READ}
+r2 AS (SELECT k, CASE WHEN k % 3 = 0 THEN [a] ELSE [a, b] END AS truth, CASE WHEN k % 3 = 0 THEN [{_SPOILED.format('a')}] WHEN k % 7 = 3 THEN [{_SPOILED.format('a')}, {_SPOILED.format('b')}, 'more'] ELSE [{_SPOILED.format('a')}, {_SPOILED.format('b')}] END AS pages FROM r1),
+r3 AS (SELECT *, array_to_string(truth, chr(10) || chr(10)) AS ref, array_to_string(pages, chr(10) || chr(10)) AS hyp, {_fold("array_to_string(truth, ' ')")} AS r, {_fold("array_to_string(pages, ' ')")} AS h FROM r2),
+p AS (SELECT *, string_split(r, ' ') AS rw, string_split(h, ' ') AS hw, list_distinct(string_split(r, ' ') || string_split(h, ' ')) AS d FROM r3),
+e AS (SELECT k, string_agg(format('{{:.4f}}', round(CASE WHEN coalesce(truth[i], '') = '' THEN CASE WHEN {_fold('pages[i]')} = '' THEN 0 ELSE 1 END ELSE levenshtein({_fold('truth[i]')}, {_fold('pages[i]')}) / len({_fold('truth[i]')}) END, 4)), ', ' ORDER BY i) AS c
+  FROM (SELECT k, truth, pages, unnest(range(1, len(pages) + 1)) AS i FROM r2 WHERE len(pages) > 1) GROUP BY k)
+SELECT k AS doc, len(pages)::INT AS n_pages, len(ref)::INT AS reference_chars, len(hyp)::INT AS hypothesis_chars, round(levenshtein(r, h) / len(r), 6) AS cer, round(levenshtein({_coded('rw')}, {_coded('hw')}) / len(rw), 6) AS wer, '[' || c || ']' AS page_cers FROM p LEFT JOIN e USING (k)""",
     "token_presence": "SELECT doc_id, round((" + " + ".join(f"contains(text, '{t}')::INT" for t in ("the", "ing", "de", "que", "|", "!!")) + ") / 6, 6) AS share, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) = 4 AS four_rows FROM documents",
     "ingest_validate": f"WITH {_FILES} SELECT doc_id, CASE WHEN length = 0 THEN 'empty_file' WHEN length > 5000 THEN 'file_too_large' WHEN sfx IN ('', '.txt') THEN 'unsupported_format' END AS error FROM f",
     "detect_format": f"""WITH {_FILES} SELECT doc_id, CASE WHEN ok THEN magic END AS format, CASE WHEN ok THEN NULL WHEN sfx IN ('', '.txt') THEN 'unsupported_format' ELSE 'content_mismatch' END AS error_code

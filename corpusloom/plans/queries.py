@@ -17,10 +17,14 @@ from corpusloom.operators import hybrid as H
 from corpusloom.operators import rerank as R
 from corpusloom.operators import store as S
 from corpusloom.operators import vectors as V
+from corpusloom.config import Settings
+from corpusloom.plans import service
 from corpusloom.sources import files as FS
 from corpusloom.sources import ocr as O
 
 EMBEDDER = V.HashingEmbedder(64)
+#: The least dense score of the queries that have a gate; the stand-in's scores are high.
+GATE = 0.9
 #: Marks that no table holds, put into texts so that cleaning has something to do.
 DIRT = (("\ufeff", ""), ("\n", " \r\n\r\r\n\t\u00a0 "), (" ", "\u00a0\t"))
 
@@ -50,6 +54,11 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_documents(_pages(spark, d), one_page=True)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """For a broadcast if it is small by count; otherwise as it is, for a join by key."""
+    return F.broadcast(rows) if rows.limit(B.BROADCAST_ROWS + 1).count() <= B.BROADCAST_ROWS else rows
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -226,9 +235,9 @@ def embed_hashing(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("w > 0").select("doc_id", "bucket", F.round("w", 6).alias("w"))
 
 
-def _vectors(spark: SparkSession, d: str, k: int, min_score: float | None = None) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, k: int, min_score: float | None = None, every: int = 20) -> DataFrame:
     rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("v"))
-    asked = rows.where("chunk_ord % 20 = 0").select(F.col("chunk_ord").alias("query_id"), "v")
+    asked = rows.where(F.col("chunk_ord") % every == 0).select(F.col("chunk_ord").alias("query_id"), "v")
     return _shown(V.similar(asked, rows, k, min_score))
 
 
@@ -241,11 +250,15 @@ def semantic_min_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion of two given rankings of vectors: by similarity, and by number within the label."""
+    """Fusion of two given rankings of vectors: by similarity, and by number within the label.
+
+    The second ranking is the same for all questions of a label, so it is cut to its length before it meets them.
+    """
     rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("v"), "label")
     asked = rows.where("chunk_ord % 50 = 0").select(F.col("chunk_ord").alias("query_id"), "v", F.col("label").alias("q"))
     dense = V.similar(asked.select("query_id", "v"), rows, 20).withColumn("chunk_id", F.lpad(F.col("chunk_ord").cast("string"), 9, "0"))
-    same = F.broadcast(asked.select("query_id", "q")).join(rows, F.col("q") == F.col("label")).select("query_id", "chunk_ord", F.lit(1.0).alias("score"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("chunk_ord"))).where("n <= 20").select(F.col("label").alias("q"), "chunk_ord")
+    same = _small(asked.select("query_id", "q")).join(first, "q").select("query_id", "chunk_ord", F.lit(1.0).alias("score"))
     second = B.top_k(same, 20).withColumn("chunk_id", F.lpad(F.col("chunk_ord").cast("string"), 9, "0"))
     return H.fuse(dense, second, (1.0, 0.5), 60, 15).select("query_id", "rank", "chunk_id", "score", "semantic_rank", "keyword_rank")
 
@@ -255,12 +268,17 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, (0.5, 2.0)).select("query_id", "rank", "chunk_id", "score")
+
+
+def hybrid_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    """A side of weight 0 is left out of the plan."""
     return _hybrid(spark, d, (0.0, 2.0)).select("query_id", "rank", "chunk_id", "score")
 
 
 def _candidates(spark: SparkSession, d: str, k: int) -> DataFrame:
     hits = _named(_keyword(spark, d, k), _chunks(spark, d))
-    return hits.join(F.broadcast(_questions(spark, d)), "query_id")
+    return hits.join(_small(_questions(spark, d)), "query_id")
 
 
 def rerank_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +294,7 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevance_gate(spark: SparkSession, d: str) -> DataFrame:
-    hits = _vectors(spark, d, 10)
+    hits = _vectors(spark, d, 10, every=10)
     questions = _read(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
     return A.relevance_gate(hits, questions, 0.35)[1]
 
@@ -293,11 +311,29 @@ def format_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_report(spark: SparkSession, d: str) -> DataFrame:
-    """Questions to cited answers in one plan: chunk, index, search, gate, pack, generate, cite."""
+    """Questions to cited answers in one plan: chunk, index, search by keywords, pack, generate, cite. See answer_* for gate and reranker."""
     questions = _questions(spark, d)
     return A.answer_report(questions, _named(_keyword(spark, d), _chunks(spark, d)), None, 3000)
 
 
+def _answered(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """The service's entry point in a mode: retrieve 20, gate (dense scores), rerank to 5, pack, generate, cite."""
+    settings = Settings(retrieval_mode=mode, retrieval_min_score=GATE, reranker_enabled=True, vector_search_top_k=5)
+    return service.answer_questions(_questions(spark, d), _chunks(spark, d), settings, EMBEDDER)
+
+
+def answer_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return _answered(spark, d, "semantic")
+
+
+def answer_keyword(spark: SparkSession, d: str) -> DataFrame:
+    return _answered(spark, d, "keyword")
+
+
+def answer_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return _answered(spark, d, "hybrid")
+
+
 # ---- the store --------------------------------------------------------------------------------------
 
 
@@ -313,9 +349,11 @@ def scan_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Into the whole table: keys that it has, repeated in the batch, and keys that it doesn't have."""
     rows = _rows(spark, d)
-    batch = rows.where("batch_pos % 4 = 0").select((F.col("batch_pos") - F.col("batch_pos") % 32).cast("string").alias("chunk_id"), "document_id", "document_name", F.lit("new").alias("content"), "batch_pos")
-    return S.upsert(rows.where("batch_pos % 2 = 0"), batch)
+    key = F.when(F.col("batch_pos") % 64 == 0, -F.col("batch_pos")).otherwise(F.col("batch_pos") - F.col("batch_pos") % 32)
+    batch = rows.where("batch_pos % 4 = 0").select(key.cast("string").alias("chunk_id"), "document_id", "document_name", F.lit("new").alias("content"), "batch_pos")
+    return S.upsert(rows, batch)
 
 
 def reindex_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -335,19 +373,25 @@ def store_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexing_report(spark: SparkSession, d: str) -> DataFrame:
-    counts = _chunks(spark, d).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-    pages = _pages(spark, d).groupBy("document_id", "document_name").agg(F.count("*").alias("n_pages"))
-    out = pages.join(counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("long"))
-    return out.withColumn("status", F.when(F.col("n_chunks") > 0, "ok").otherwise("no_chunks"))
+    """The service's entry point: chunk, embed and store all documents, and report on each."""
+    return service.index_documents(_pages(spark, d), S.scratch_store(spark), embedder=EMBEDDER, one_page=True)
+
+
+def index_from_store(spark: SparkSession, d: str) -> DataFrame:
+    """A keyword index of what a store holds after one of its documents went."""
+    store = S.scratch_store(spark)
+    store.index(_chunks(spark, d).select("chunk_id", "document_id", "chunk_ord", "content"))
+    store.delete("0")
+    return B.build_index_from_store(store).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 # ---- evaluation -------------------------------------------------------------------------------------
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
-    items = F.broadcast(_read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle")))
+    needles = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     docs = _read(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("document_name"), "text")
-    return docs.join(items, F.contains("text", F.col("needle"))).select("query_id", "document_name")
+    return E.containing(docs, needles).select("query_id", "document_name")
 
 
 def _measures(spark: SparkSession, d: str, mode: str = "keyword") -> DataFrame:
@@ -374,9 +418,10 @@ def eval_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_mode_comparison(spark: SparkSession, d: str) -> DataFrame:
-    modes = [E.summary(_measures(spark, d, m)).withColumn("mode", F.lit(m)) for m in ("semantic", "hybrid")]
-    out = E.mode_comparison(modes[0].unionByName(modes[1]), ["hit_rate", "recall", "precision", "mrr", "rejection_rate"], (("hybrid", "semantic"),))
-    return _rounded(out)
+    """The five modes, and what the reranked ones are above those that they build on."""
+    questions = _questions(spark, d).withColumn("category", F.lit("all"))
+    modes = service.compare_modes(questions, _expected(spark, d), _chunks(spark, d), Settings(retrieval_min_score=GATE), EMBEDDER, top_k=5)
+    return _rounded(E.mode_comparison(modes, ["hit_rate", "recall", "precision", "mrr", "rejection_rate"]))
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -392,6 +437,17 @@ def ocr_macro_error(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.macro_error(rows.select("reference", _spoiled("reference").alias("hypothesis"))))
 
 
+def ocr_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Each question as a document of one to three pages, read with errors."""
+    rows = _read(spark, d, "benchmark").select("item_id", F.filter(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "e"), r"[ \n]+"), lambda w: w != "").alias("w"))
+    half, k = F.ceil(F.size("w") / 2).cast("int"), F.col("item_id")
+    rows = rows.select("item_id", F.array_join(F.slice("w", 1, half), " ").alias("a"), F.array_join(F.slice("w", half + 1, F.greatest(F.size("w") - half, F.lit(0))), " ").alias("b"))
+    read = F.when(k % 3 == 0, F.array(_spoiled("a"))).when(k % 7 == 3, F.array(_spoiled("a"), _spoiled("b"), F.lit("more"))).otherwise(F.array(_spoiled("a"), _spoiled("b")))
+    truth = F.when(k % 3 == 0, F.col("a")).otherwise(F.concat_ws("\n\n", "a", "b"))
+    out = E.recognition_errors(rows.select(k.alias("doc"), truth.alias("reference"), read.alias("pages")))
+    return _rounded(out.withColumn("page_cers", F.transform("page_cers", lambda x: F.format_string("%.4f", x)).cast("string")))
+
+
 def token_presence(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.round(E.token_presence(F.col("text"), ["the", "ing", "de", "que", "|", "!!"]), 6).alias("share"), (E.line_count(F.col("text")) == 4).alias("four_rows"))
 
@@ -473,9 +529,9 @@ def pdf_outcome_rules(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     clean_text, tokenize, alnum_count, validate_query, validate_question, normalize_text, cer, wer, extract_page_number, build_prompt, flatten_metadata,
     page_boundaries, split_text, page_for_offset, chunk_document, chunk_metadata, bm25_postings, bm25_df, bm25_corpus_stats, bm25_score, bm25_topk,
-    bm25_min_score, bm25_remove_document, embed_hashing, vector_topk, semantic_min_score, rrf_fusion, hybrid_topk, hybrid_weighted, rerank_candidates,
-    rerank_topk, relevance_gate, context_pack, format_sources, answer_report, scan_chunks, upsert_last_wins, reindex_replace, delete_document, store_count,
-    indexing_report, eval_per_query, eval_summary, eval_by_category, eval_mode_comparison, latency_percentiles, timing_stats, ocr_macro_error, token_presence,
+    bm25_min_score, bm25_remove_document, embed_hashing, vector_topk, semantic_min_score, rrf_fusion, hybrid_topk, hybrid_weighted, hybrid_one_sided, rerank_candidates,
+    rerank_topk, relevance_gate, context_pack, format_sources, answer_report, answer_semantic, answer_keyword, answer_hybrid, scan_chunks, upsert_last_wins, reindex_replace, delete_document, store_count,
+    indexing_report, index_from_store, eval_per_query, eval_summary, eval_by_category, eval_mode_comparison, latency_percentiles, timing_stats, ocr_macro_error, ocr_evaluation, token_presence,
     ingest_validate, detect_format, docx_table_text, image_coverage, needs_ocr, raster_guard, ocr_tsv_layout, ocr_gap_heuristic, pdf_outcome_rules,
 )
 

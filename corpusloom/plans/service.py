@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -34,52 +35,64 @@ def index_documents(pages: DataFrame, store: ChunkStore, settings: Settings | No
     return out.withColumn("status", F.when(F.col("n_chunks") > 0, "ok").otherwise("no_chunks"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings | None = None, embedder: vectors.Embedder | None = None, top_k: int | None = None) -> DataFrame:
-    """Hits of (query_id, query) by the settings' mode: (query_id, rank, score and the chunk's columns).
-
-    chunks may bring their vectors as `v`; otherwise they are embedded on the way.
-    """
-    settings, embedder = settings or Settings(), embedder or vectors.HashingEmbedder()
-    k = top_k_or(top_k, settings.vector_search_top_k)
-    ids = chunks.select("chunk_ord", "chunk_id")
+def _sides(questions: DataFrame, chunks: DataFrame, settings: Settings, embedder: vectors.Embedder | None) -> tuple[Callable[[int], DataFrame], Callable[[int], DataFrame]]:
+    """The dense and the keyword retriever, as functions of the number of hits. Dense hits below the settings' least score are none."""
+    embedder = embedder or vectors.HashingEmbedder()
 
-    def dense(n: int, least: float | None = None) -> DataFrame:
+    def dense(n: int) -> DataFrame:
         v = F.col("v") if "v" in chunks.columns else vectors.embed(F.col("content"), embedder)
-        return vectors.semantic_search(questions, chunks.select("chunk_ord", v.alias("v")), embedder, n, least)
+        return vectors.semantic_search(questions, chunks.select("chunk_ord", v.alias("v")), embedder, n, settings.retrieval_min_score)
 
     def words(n: int) -> DataFrame:
         return bm25.search(bm25.build_index(chunks, k1=settings.bm25_k1, b=settings.bm25_b), questions, n)
 
+    return dense, words
+
+
+def _fused(dense: DataFrame | None, words: DataFrame | None, chunks: DataFrame, settings: Settings, k: int) -> DataFrame:
+    ids = chunks.select("chunk_ord", "chunk_id")
+    sides = [None if x is None else x.join(ids, "chunk_ord") for x in (dense, words)]
+    return hybrid.fuse(*sides, (settings.hybrid_semantic_weight, settings.hybrid_keyword_weight), settings.rrf_k, k).drop("chunk_id")
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings | None = None, embedder: vectors.Embedder | None = None, top_k: int | None = None) -> DataFrame:
+    """Hits of (query_id, query) by the settings' mode: (query_id, rank, score and the chunk's columns).
+
+    chunks may bring their vectors as `v`; otherwise they are embedded on the way. The least score
+    holds for dense hits, also for those that go into a fusion.
+    """
+    settings = settings or Settings()
+    k = top_k_or(top_k, settings.vector_search_top_k)
+    dense, words = _sides(questions, chunks, settings, embedder)
     if settings.retrieval_mode == "semantic":
         hits = dense(k)
     elif settings.retrieval_mode == "keyword":
         hits = words(k)
     else:
-        weights = (settings.hybrid_semantic_weight, settings.hybrid_keyword_weight)
-        left = dense(settings.hybrid_semantic_top_k).join(ids, "chunk_ord") if weights[0] else None
-        right = words(settings.hybrid_keyword_top_k).join(ids, "chunk_ord") if weights[1] else None
-        hits = hybrid.fuse(left, right, weights, settings.rrf_k, k).drop("chunk_id")
+        left = dense(settings.hybrid_semantic_top_k) if settings.hybrid_semantic_weight else None
+        right = words(settings.hybrid_keyword_top_k) if settings.hybrid_keyword_weight else None
+        hits = _fused(left, right, chunks, settings, k)
     return hits.join(chunks.drop("v"), "chunk_ord")
 
 
+def _reranked(hits: DataFrame, questions: DataFrame, k: int, scorer: rerank.Scorer | None) -> DataFrame:
+    asked = hits.join(questions.where(query_error("query").isNull()).select("query_id", "query"), "query_id")
+    return rerank.rerank(asked, k, rerank.scored_by(scorer, F.col("query"), F.col("content")) if scorer else None)
+
+
 def answer_questions(
     questions: DataFrame, chunks: DataFrame, settings: Settings | None = None, embedder: vectors.Embedder | None = None, scorer: rerank.Scorer | None = None, generator: answer.Generator = answer.first_passage, top_k: int | None = None
 ) -> DataFrame:
     """Retrieve, gate, rerank, pack, generate and cite: a row for each row of (query_id, query).
 
-    The gate comes before the reranker and applies to the semantic mode only, whose scores alone have
-    a fixed scale.
+    The gate comes before the reranker and holds for dense scores, which alone have a fixed scale.
     """
     settings = settings or Settings()
     k = top_k_or(top_k, settings.vector_search_top_k)
     depth = max(settings.reranker_candidate_top_k if settings.reranker_enabled else k, k)
     hits = retrieve(questions, chunks, settings, embedder, depth)
-    if settings.retrieval_mode == "semantic":
-        hits = hits.where(F.col("score") >= settings.retrieval_min_score)
     if settings.reranker_enabled:
-        hits = hits.join(questions.where(query_error("query").isNull()).select("query_id", "query"), "query_id")
-        score = rerank.scored_by(scorer, F.col("query"), F.col("content")) if scorer else None
-        hits = rerank.rerank(hits, k, score)
+        hits = _reranked(hits, questions, k, scorer)
     best = Window.partitionBy("query_id").orderBy("rank")
     hits = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
     hits = hits.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda key, _: key != "page_number"), F.when(F.col("page_number").isNotNull(), F.create_map(F.lit("page_number"), F.col("page_number").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))))
@@ -87,18 +100,21 @@ def answer_questions(
 
 
 def compare_modes(questions: DataFrame, expected: DataFrame, chunks: DataFrame, settings: Settings | None = None, embedder: vectors.Embedder | None = None, scorer: rerank.Scorer | None = None, top_k: int = 5) -> DataFrame:
-    """A summary for each of the five modes, with the mode's name. questions: (query_id, query, category)."""
+    """A summary for each of the five modes, with the mode's name. questions: (query_id, query, category).
+
+    All modes are made of one dense and one keyword ranking, DEPTH deep.
+    """
     settings = settings or Settings()
+    depth = max(DEPTH, top_k)
+    dense, words = (side(depth) for side in _sides(questions, chunks, settings, embedder))
+    fused = _fused(dense, words, chunks, settings, depth)
+    named = chunks.select("chunk_ord", "chunk_id", "document_name", "content")
+    deep = {"semantic": dense, "keyword": words, "hybrid": fused}
     out = []
     for mode in MODES:
         kind, _, again = mode.partition("_")
-        own = Settings(**{**settings.__dict__, "retrieval_mode": kind})
-        hits = retrieve(questions, chunks, own, embedder, max(DEPTH, top_k) if again else top_k)
-        if kind == "semantic":
-            hits = hits.where(F.col("score") >= own.retrieval_min_score)
-        if again:
-            hits = hits.join(questions.select("query_id", "query"), "query_id")
-            hits = rerank.rerank(hits, top_k, rerank.scored_by(scorer, F.col("query"), F.col("content")) if scorer else None)
+        hits = deep[kind].join(named, "chunk_ord")
+        hits = _reranked(hits, questions, top_k, scorer) if again else hits.where(F.col("rank") <= top_k)
         measures = evaluate.per_query(hits.select("query_id", "rank", "document_name"), expected, questions.select("query_id", "category"))
         out.append(evaluate.summary(measures).withColumn("mode", F.lit(mode)))
     return reduce(DataFrame.unionByName, out)

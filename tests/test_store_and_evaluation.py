@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from corpusloom.operators import evaluate as E
@@ -40,6 +42,53 @@ def test_store_survives_a_failed_write(spark, tmp_path):
     assert store.count() == 1
 
 
+def test_store_merges_changes_in_any_order(spark, tmp_path):
+    """Random changes against a plain dictionary, through compactions."""
+    rng = random.Random(2)
+    store = ChunkStore(spark, f"file://{tmp_path}/s", compact_after=4)
+    want: dict[str, tuple] = {}
+    for step in range(14):
+        kind = rng.choice(["index", "add", "delete", "index"])
+        docs = rng.sample("abcd", 2)
+        if kind == "delete":
+            n = sum(r[1] == docs[0] for r in want.values())
+            assert store.delete(docs[0]) == n
+            want = {k: r for k, r in want.items() if r[1] != docs[0]}
+            continue
+        rows = [(f"{d}#{i}", d, "n", f"{step}", i) for d in docs for i in range(rng.randrange(1, 4))]
+        getattr(store, kind)(spark.createDataFrame(rows, ROW))
+        if kind == "index":
+            want = {k: r for k, r in want.items() if r[1] not in docs}
+        want |= {r[0]: r for r in rows}
+        if step % 4 == 3:
+            assert sorted(tuple(r[c] for c in ("chunk_id", "document_id", "document_name", "content", "chunk_index")) for r in store.read().collect()) == sorted(want.values())
+    assert len(store._commits()) <= 5
+    assert sorted(r.chunk_id for r in store.read().collect()) == sorted(want)
+    folders = [p for p in (tmp_path / "s").iterdir() if p.name.startswith("d-")]
+    assert len(folders) <= 12
+
+
+def test_writers_never_take_one_number(spark, tmp_path):
+    stores = [ChunkStore(spark, f"file://{tmp_path}/s") for _ in range(2)]
+    stores[0].index(spark.createDataFrame([("a", "d", "n", "x", 0)], ROW))
+    late = stores[1]._write(spark.createDataFrame([("b", "e", "n", "y", 0)], ROW))
+    version = stores[1].version
+    stores[1].version = lambda: version() - 1  # as if the other writer came in between
+    assert stores[1]._commit(kind="index", data=late) == 2
+    assert sorted(r.chunk_id for r in stores[0].read().collect()) == ["a", "b"]
+
+
+def test_change_during_a_compaction_is_kept(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/s")
+    store.index(spark.createDataFrame([("a", "d", "n", "x", 0)], ROW))
+    store.index(spark.createDataFrame([("b", "e", "n", "y", 0)], ROW))
+    live = store._write(store.read())
+    store.index(spark.createDataFrame([("a", "d", "n", "late", 0)], ROW))  # commit 3, before the whole table's commit 4
+    store._commit(kind="whole", data=live, upto=2)
+    store.index(spark.createDataFrame([("c", "f", "n", "z", 0)], ROW))
+    assert sorted((r.chunk_id, r.content) for r in store.read().collect()) == [("a", "late"), ("b", "y"), ("c", "z")]
+
+
 def measures(spark, hits, expected, questions):
     return E.per_query(
         spark.createDataFrame(hits, "query_id int, rank int, document_name string"), spark.createDataFrame(expected, "query_id int, document_name string"), spark.createDataFrame(questions, "query_id int, category string")
@@ -68,6 +117,14 @@ def test_percentiles(spark, n):
     assert got.n == n and got.median == (s[(n - 1) // 2] + s[n // 2]) / 2 and got.p95 == s[min(int(0.95 * n), n - 1)]
 
 
+def test_recognition_errors(spark):
+    rows = [("one", "a b c", ["a b c"]), ("two", "first page\n\n\n\nsecond page", ["first pag", "second page", "third"]), ("none", "x", []), ("null", None, [None, "y"])]
+    got = {r.doc: r for r in E.recognition_errors(spark.createDataFrame(rows, "doc string, reference string, pages array<string>")).collect()}
+    assert got["one"].cer == got["one"].wer == 0 and got["one"].page_cers is None and got["one"].n_pages == 1
+    assert got["two"].page_cers == [0.1, 0.0, 1.0] and got["two"].wer == pytest.approx(2 / 4)
+    assert got["none"].cer == 1.0 and got["null"].cer == 1.0 and got["null"].page_cers == [0.0, 1.0]
+
+
 def test_comparison(spark):
     rows = spark.createDataFrame([("semantic", 0.5), ("semantic_rerank", 0.75), ("keyword", 0.25)], "mode string, mrr double")
     got = {r["mode"]: r.overhead for r in E.mode_comparison(rows, ["mrr"]).collect()}

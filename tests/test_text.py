@@ -4,6 +4,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, SettingsError, top_k_or
 from corpusloom.errors import InsufficientContextError, InvalidTopKError, QueryError
@@ -88,3 +89,13 @@ def test_settings():
         with pytest.raises(InvalidTopKError):
             top_k_or(bad_k, 5)
     assert InsufficientContextError.code() == "insufficient_context" and issubclass(InsufficientContextError, QueryError)
+
+
+def test_word_error_rate_of_many_words(spark):
+    """More distinct words than there are letters below the surrogates, and time in proportion to them."""
+    n = 40_000
+    words = " ".join(f"w{i}" for i in range(n))
+    codes = spark.createDataFrame([(words, words + " more"), ("a b a", "b a b")], "r string, h string").select(T.word_codes(F.col("r"), F.col("h")).alias("c")).select("c.*").collect()
+    assert codes[0].n == n and len(set(codes[0].r)) == n and codes[0].h[:-1] == codes[0].r and codes[0].h[-1] not in codes[0].r
+    assert codes[1].r == codes[1].h[1] + codes[1].h[0] + codes[1].h[1]
+    assert spark.createDataFrame([(" ".join(words.split()[:2000]), "x")], "r string, h string").select(T.word_error_rate("r", "h")).first()[0] == 1.0
