@@ -295,9 +295,18 @@ SELECT item_id AS doc, coalesce(x.text, '') AS text, mean_confidence, NULL::VARC
 m AS (SELECT *, coalesce(median(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY doc, block, par, line), 10) AS mid FROM g),
 l AS (SELECT doc, min(i) AS first, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap >= greatest(2 * mid, 20) THEN ' | ' ELSE ' ' END || word, '' ORDER BY m.l, i) AS v FROM m GROUP BY doc, block, par, line)
 SELECT item_id AS doc, coalesce(x.text, '') AS text FROM benchmark LEFT JOIN (SELECT doc, string_agg(v, chr(10) ORDER BY first) AS text FROM l GROUP BY doc) x ON doc = item_id""",
-    "pdf_outcome_rules": """WITH r AS (SELECT doc_id // 4 AS document_id, (doc_id % 4 + 1) AS page_number, doc_id % 3 <> 1 AS tried, doc_id % 3 <> 1 AND doc_id % 7 = 0 AS failed,
+    "pdf_outcome_rules": """WITH r AS (SELECT doc_id // 4 AS document_id, (doc_id % 4 + 1) AS page_number, doc_id % 3 <> 1 AS tried, doc_id % 7 = 0 AS broken,
   CASE WHEN (doc_id // 4) % 5 = 0 THEN ' - ' ELSE text END AS native, CASE WHEN (doc_id // 4) % 10 = 0 THEN '?' ELSE 'word' END AS ocr FROM documents),
-s AS (SELECT *, regexp_matches(CASE WHEN tried AND NOT failed THEN ocr ELSE native END, '[\\p{L}\\p{N}]') AS speaks FROM r)
+s AS (SELECT *, tried AND (broken OR ocr = '?') AS failed FROM r),
+t AS (SELECT *, regexp_matches(CASE WHEN tried AND NOT failed THEN ocr ELSE native END, '[\\p{L}\\p{N}]') AS speaks FROM s)
 SELECT document_id, CASE WHEN count(*) FILTER (tried) > 2 THEN 'ocr_limit_exceeded' WHEN count(*) FILTER (tried) > 0 AND NOT bool_or(speaks) THEN 'no_extractable_text' ELSE 'ok' END AS status,
-  count(*) AS n_pages, count(*) FILTER (tried AND NOT failed) AS ocr_pages, coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (failed), '') AS failed_pages FROM s GROUP BY document_id""",
+  count(*) AS n_pages, count(*) FILTER (tried) AS ocr_pages, coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (failed), '') AS failed_pages FROM t GROUP BY document_id""",
+    "pdf_scanned_pages": """WITH q AS (SELECT doc_id, doc_id // 4 AS f, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id)::INT AS page_number, (doc_id // 4) % 9 = 4 AS blank, (doc_id // 4) % 9 = 7 OR doc_id % 3 = 1 AS picture, text FROM documents),
+r AS (SELECT f, page_number, CASE WHEN blank THEN doc_id % 4 <> 0 ELSE picture END AS scan, NOT blank AND NOT picture AND doc_id % 16 = 3 AS huge, CASE WHEN NOT blank THEN text WHEN doc_id % 4 = 0 THEN '- -' ELSE '' END AS body FROM q),
+s AS (SELECT *, scan OR huge AS tried, huge OR (scan AND (body = '' OR body LIKE 'T%')) AS failed FROM r),
+t AS (SELECT *, CASE WHEN tried AND failed THEN '' WHEN tried THEN 'read: ' || body ELSE body END AS content FROM s),
+d AS (SELECT f, count(*) FILTER (tried) AS n, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (failed) AS failed, bool_or(regexp_matches(content, '[\\p{L}\\p{N}]')) AS speaks FROM t GROUP BY f),
+o AS (SELECT *, CASE WHEN n > 3 THEN 'ocr_limit_exceeded' WHEN n > 0 AND NOT speaks THEN 'no_extractable_text' END AS e FROM d)
+SELECT '/in/' || f || '.pdf' AS document_id, page_number, md5(content) AS content, CASE WHEN tried AND NOT t.failed THEN 'ocr' ELSE 'native_text' END AS method, CASE WHEN n > 0 THEN coalesce(o.failed, '') END AS failed, CASE WHEN n > 0 THEN n::VARCHAR END AS tried, NULL::VARCHAR AS error_code FROM t JOIN o USING (f) WHERE e IS NULL
+UNION ALL SELECT '/in/' || f || '.pdf', NULL, NULL, NULL, NULL, NULL, e FROM o WHERE e IS NOT NULL""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,6 +55,13 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_documents(_pages(spark, d), one_page=True)
 
 
+def _stored(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
+    """The chunks as a store holds them: made once, for plans that read them from several sides."""
+    chunks, store = _chunks(spark, d), S.scratch_store(spark)
+    store.index(chunks.withColumn("v", V.embed(F.col("content"), EMBEDDER)) if vectors else chunks)
+    return store.read()
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """For a broadcast if it is small by count; otherwise as it is, for a join by key."""
     return F.broadcast(rows) if rows.limit(B.BROADCAST_ROWS + 1).count() <= B.BROADCAST_ROWS else rows
@@ -68,16 +76,12 @@ def _named(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.drop("start"), "chunk_ord")
 
 
-def _keyword(spark: SparkSession, d: str, k: int = 10, min_score: float | None = None) -> DataFrame:
-    return B.search(B.build_index(_chunks(spark, d)), _questions(spark, d), k, min_score)
-
-
-def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_ord", V.embed(F.col("content"), EMBEDDER).alias("v"))
+def _keyword(spark: SparkSession, d: str, k: int = 10, min_score: float | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    return B.search(B.build_index(_chunks(spark, d) if chunks is None else chunks), _questions(spark, d), k, min_score)
 
 
-def _semantic(spark: SparkSession, d: str, k: int = 10, min_score: float | None = None) -> DataFrame:
-    return V.semantic_search(_questions(spark, d), _chunk_vectors(spark, d), EMBEDDER, k, min_score)
+def _semantic(spark: SparkSession, d: str, chunks: DataFrame, k: int = 10, min_score: float | None = None) -> DataFrame:
+    return V.semantic_search(_questions(spark, d), chunks.select("chunk_ord", "v"), EMBEDDER, k, min_score)
 
 
 def _with_id(hits: DataFrame) -> DataFrame:
@@ -86,8 +90,9 @@ def _with_id(hits: DataFrame) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str, weights: tuple[float, float], k: int = 10) -> DataFrame:
-    semantic = _with_id(_semantic(spark, d, 20)) if weights[0] else None
-    keyword = _with_id(_keyword(spark, d, 20)) if weights[1] else None
+    chunks = _stored(spark, d, vectors=weights[0] > 0)
+    semantic = _with_id(_semantic(spark, d, chunks, 20)) if weights[0] else None
+    keyword = _with_id(_keyword(spark, d, 20, chunks=chunks)) if weights[1] else None
     return H.fuse(semantic, keyword, weights, 60, k)
 
 
@@ -277,7 +282,8 @@ def hybrid_one_sided(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str, k: int) -> DataFrame:
-    hits = _named(_keyword(spark, d, k), _chunks(spark, d))
+    chunks = _stored(spark, d)
+    hits = _named(_keyword(spark, d, k, chunks=chunks), chunks)
     return hits.join(_small(_questions(spark, d)), "query_id")
 
 
@@ -300,7 +306,8 @@ def relevance_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return A.build_context(_named(_keyword(spark, d), _chunks(spark, d)), 3000)
+    chunks = _stored(spark, d)
+    return A.build_context(_named(_keyword(spark, d, chunks=chunks), chunks), 3000)
 
 
 def format_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -312,14 +319,14 @@ def format_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_report(spark: SparkSession, d: str) -> DataFrame:
     """Questions to cited answers in one plan: chunk, index, search by keywords, pack, generate, cite. See answer_* for gate and reranker."""
-    questions = _questions(spark, d)
-    return A.answer_report(questions, _named(_keyword(spark, d), _chunks(spark, d)), None, 3000)
+    chunks = _stored(spark, d)
+    return A.answer_report(_questions(spark, d), _named(_keyword(spark, d, chunks=chunks), chunks), None, 3000)
 
 
 def _answered(spark: SparkSession, d: str, mode: str) -> DataFrame:
     """The service's entry point in a mode: retrieve 20, gate (dense scores), rerank to 5, pack, generate, cite."""
     settings = Settings(retrieval_mode=mode, retrieval_min_score=GATE, reranker_enabled=True, vector_search_top_k=5)
-    return service.answer_questions(_questions(spark, d), _chunks(spark, d), settings, EMBEDDER)
+    return service.answer_questions(_questions(spark, d), _stored(spark, d, vectors=mode != "keyword"), settings, EMBEDDER)
 
 
 def answer_semantic(spark: SparkSession, d: str) -> DataFrame:
@@ -394,8 +401,8 @@ def _expected(spark: SparkSession, d: str) -> DataFrame:
     return E.containing(docs, needles).select("query_id", "document_name")
 
 
-def _measures(spark: SparkSession, d: str, mode: str = "keyword") -> DataFrame:
-    hits = {"keyword": lambda: _keyword(spark, d, 5, 30.0), "semantic": lambda: _semantic(spark, d, 5, 0.9), "hybrid": lambda: _hybrid(spark, d, (1.0, 1.0), 5)}[mode]()
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    hits = _keyword(spark, d, 5, 30.0)
     named = hits.select("query_id", "rank", F.concat(F.lit("doc-"), F.floor(F.col("chunk_ord") / C.ORD_STEP).cast("bigint").cast("string")).alias("document_name"))
     questions = _questions(spark, d).select("query_id", F.concat(F.lit("group "), (F.col("query_id") % 5).cast("string")).alias("category"))
     return E.per_query(named, _expected(spark, d), questions)
@@ -420,7 +427,7 @@ def eval_by_category(spark: SparkSession, d: str) -> DataFrame:
 def eval_mode_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The five modes, and what the reranked ones are above those that they build on."""
     questions = _questions(spark, d).withColumn("category", F.lit("all"))
-    modes = service.compare_modes(questions, _expected(spark, d), _chunks(spark, d), Settings(retrieval_min_score=GATE), EMBEDDER, top_k=5)
+    modes = service.compare_modes(questions, _expected(spark, d), _stored(spark, d, vectors=True), Settings(retrieval_min_score=GATE), EMBEDDER, top_k=5)
     return _rounded(E.mode_comparison(modes, ["hit_rate", "recall", "precision", "mrr", "rejection_rate"]))
 
 
@@ -526,13 +533,53 @@ def pdf_outcome_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("failed_pages", F.array_join(F.col("failed_pages").cast("array<string>"), ","))
 
 
+class _Reader:
+    """Stands in for a PDF library: pages are parted by form feeds, `[scan w h]` marks a page that is one picture."""
+
+    def pages(self, content: bytes) -> list[FS.PdfPage]:
+        out = []
+        for n, text in enumerate(content.decode()[4:].split("\f")):
+            mark = re.match(r"\[scan (\d+) (\d+)\]", text)
+            w, h = (float(mark[1]), float(mark[2])) if mark else (612.0, 792.0)
+            out.append(FS.PdfPage("" if mark else text, w, h, [(n, 0.0, 0.0, w, h)] if mark else []))
+        return out
+
+    def draw(self, content: bytes, page_number: int, dpi: int) -> bytes:
+        return content.decode()[4:].split("\f")[page_number - 1].partition("]")[2].encode()
+
+
+class _Engine:
+    """Reads what `_Reader` draws; fails on a page that begins with a T."""
+
+    def version(self) -> str:
+        return "stand-in 1"
+
+    def recognize(self, image: bytes, language: str, timeout: float) -> O.Recognized:
+        text = image.decode()
+        if text.startswith("T"):
+            raise O.OcrPageError("bad page")
+        return O.Recognized(f"read: {text}" if text else "-", 90.0)
+
+
+def pdf_scanned_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Four rows of documents as the pages of a file, some of them pictures: extraction, rules, drawing, recognition and outcome in one plan."""
+    n, f, text = F.col("doc_id"), F.floor(F.col("doc_id") / 4).cast("bigint"), F.col("text")
+    scan, huge = F.lit("[scan 612 792]"), F.lit("[scan 9000 9000]")
+    page = F.when(f % 9 == 4, F.when(n % 4 == 0, "- -").otherwise(scan)).when((f % 9 == 7) | (n % 3 == 1), F.concat(scan, text)).when(n % 16 == 3, F.concat(huge, text)).otherwise(text)
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", page.alias("p")))), lambda x: x["p"])
+    files = _read(spark, d, "documents").groupBy(f.alias("f")).agg(F.encode(F.concat(F.lit("%PDF"), F.array_join(pages, "\f")), "UTF-8").alias("content"))
+    files = files.select(F.concat(F.lit("/in/"), F.col("f").cast("string"), F.lit(".pdf")).alias("path"), F.length("content").cast("bigint").alias("length"), "content")
+    out = FS.load_scanned(files, _Reader(), _Engine(), max_pages=3)
+    return out.select("document_id", "page_number", F.md5(F.col("content").cast("binary")).alias("content"), F.col("page_metadata")["extraction_method"].alias("method"), F.col("metadata")["ocr_failed_pages"].alias("failed"), F.col("metadata")["ocr_page_count"].alias("tried"), "error_code")
+
+
 _ALL = (
     clean_text, tokenize, alnum_count, validate_query, validate_question, normalize_text, cer, wer, extract_page_number, build_prompt, flatten_metadata,
     page_boundaries, split_text, page_for_offset, chunk_document, chunk_metadata, bm25_postings, bm25_df, bm25_corpus_stats, bm25_score, bm25_topk,
     bm25_min_score, bm25_remove_document, embed_hashing, vector_topk, semantic_min_score, rrf_fusion, hybrid_topk, hybrid_weighted, hybrid_one_sided, rerank_candidates,
     rerank_topk, relevance_gate, context_pack, format_sources, answer_report, answer_semantic, answer_keyword, answer_hybrid, scan_chunks, upsert_last_wins, reindex_replace, delete_document, store_count,
     indexing_report, index_from_store, eval_per_query, eval_summary, eval_by_category, eval_mode_comparison, latency_percentiles, timing_stats, ocr_macro_error, ocr_evaluation, token_presence,
-    ingest_validate, detect_format, docx_table_text, image_coverage, needs_ocr, raster_guard, ocr_tsv_layout, ocr_gap_heuristic, pdf_outcome_rules,
+    ingest_validate, detect_format, docx_table_text, image_coverage, needs_ocr, raster_guard, ocr_tsv_layout, ocr_gap_heuristic, pdf_outcome_rules, pdf_scanned_pages,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import subprocess
 from collections.abc import Iterator
 from typing import NamedTuple, Protocol
@@ -34,6 +36,18 @@ def image_coverage(images: DataFrame) -> DataFrame:
     return once.groupBy("page_id").agg(F.coalesce(share, F.lit(0.0)).alias("coverage"))
 
 
+def coverage_of(images: Column, width: Column, height: Column) -> Column:
+    """image_coverage of a page whose images are an array<struct<xref,x0,y0,x1,y1>> in its row."""
+    seen = F.transform(images, lambda x: x["xref"])
+    once = F.filter(images, lambda x, i: F.array_position(seen, x["xref"]) == i + 1)
+
+    def side(a: Column, b: Column, most: Column) -> Column:
+        return F.greatest(F.least(b, most) - F.greatest(a, F.lit(0.0)), F.lit(0.0))
+
+    area = F.aggregate(once, F.lit(0.0), lambda acc, x: acc + side(x["x0"], x["x1"], width) * side(x["y0"], x["y1"], height))
+    return F.coalesce(F.when(width * height > 0, F.least(area / (width * height), F.lit(1.0))), F.lit(0.0))
+
+
 def needs_ocr(text: Column, coverage: Column, min_native_chars: int = 25) -> Column:
     """Few letters and digits, and mostly images."""
     return (alnum_count(text) < min_native_chars) & (F.coalesce(coverage, F.lit(0.0)) >= IMAGE_SHARE)
@@ -132,6 +146,8 @@ class Recognized(NamedTuple):
 class OcrEngine(Protocol):
     """An image's bytes to text; raises OcrPageError for a bad page, OcrUnavailableError if it can't work at all."""
 
+    def version(self) -> str: ...
+
     def recognize(self, image: bytes, language: str, timeout: float) -> Recognized: ...
 
 
@@ -142,22 +158,31 @@ class CommandEngine:
         self.command, self.layout = command, layout or layout_of
         self._version: str | None = None
 
+    def executable(self) -> str:
+        """Where the command is: a name on the path, or a file."""
+        found = shutil.which(self.command) or (self.command if os.path.isfile(self.command) else None)
+        if found is None:
+            raise OcrUnavailableError(f"no executable {self.command!r}")
+        return found
+
     def version(self) -> str:
         """The first line that the engine says of itself; asked once."""
         if self._version is None:
             try:
-                done = subprocess.run([self.command, "--version"], capture_output=True, timeout=10, check=False)
+                done = subprocess.run([self.executable(), "--version"], capture_output=True, timeout=10, check=False)
             except (OSError, subprocess.TimeoutExpired) as e:
                 raise OcrUnavailableError(str(e)) from e
             said = (done.stdout or done.stderr).decode("utf-8", "replace").splitlines()
-            self._version = said[0].strip() if said else ""
+            if done.returncode or not said:
+                raise OcrUnavailableError(f"the engine does not tell its version: code {done.returncode}")
+            self._version = said[0].strip()
         return self._version
 
     def recognize(self, image: bytes, language: str = "eng", timeout: float = 60.0) -> Recognized:
         if not re.fullmatch(r"[A-Za-z]{3}(_[A-Za-z]+)?(\+[A-Za-z]{3}(_[A-Za-z]+)?)*", language):
             raise OcrPageError(f"bad language {language!r}")
         try:
-            done = subprocess.run([self.command, "stdin", "stdout", "-l", language, "--psm", "3", "tsv"], input=image, capture_output=True, timeout=timeout, check=False)
+            done = subprocess.run([self.executable(), "stdin", "stdout", "-l", language, "--psm", "3", "tsv"], input=image, capture_output=True, timeout=timeout, check=False)
         except FileNotFoundError as e:
             raise OcrUnavailableError(str(e)) from e
         except subprocess.TimeoutExpired as e:
@@ -217,18 +242,19 @@ def recognize(images: DataFrame, engine: OcrEngine, language: str = "eng", timeo
 def pdf_outcome(pages: DataFrame, max_pages: int = 50) -> DataFrame:
     """(document_id, status, n_pages, ocr_pages, failed_pages) by the rules for scanned documents.
 
-    pages: (document_id, page_number, native_text, wants_ocr, ocr_text, ocr_error). A page whose
-    recognition failed keeps its native text; a document with recognised pages but no letter or digit
-    anywhere has no text to extract; more pages to recognise than `max_pages` are too many.
+    pages: (document_id, page_number, native_text, wants_ocr, ocr_text, ocr_error). ocr_pages are the
+    pages tried. A page whose recognition failed or gave no letter or digit keeps its native text; a
+    document with pages tried but no letter or digit anywhere has no text to extract; more pages to
+    recognise than `max_pages` are too many.
     """
     tried = F.col("wants_ocr")
-    failed = tried & F.col("ocr_error").isNotNull()
+    failed = tried & (F.col("ocr_error").isNotNull() | (alnum_count("ocr_text") == 0))
     text = F.when(tried & ~failed, F.col("ocr_text")).otherwise(F.col("native_text"))
     rows = pages.select("document_id", "page_number", tried.alias("tried"), failed.alias("failed"), (alnum_count(text) > 0).alias("speaks"))
     agg = rows.groupBy("document_id").agg(
         F.count("*").alias("n_pages"),
         F.count_if("tried").alias("n_tried"),
-        F.count_if(F.col("tried") & ~F.col("failed")).alias("ocr_pages"),
+        F.count_if("tried").alias("ocr_pages"),
         F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("page_number")))).alias("failed_pages"),
         F.bool_or("speaks").alias("speaks"),
     )
