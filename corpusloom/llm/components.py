@@ -2,9 +2,9 @@
 
 Links are searched within groups of nodes that share a key. Of each group only a spanning forest of
 its links is emitted, at most one link a node: components are kept whole and no group's pairs are
-ever written out. A group beyond a tile's size is dealt into tiles at random, differently for each
-key, and its links within tiles come first. They connect what is alike throughout, such as a vast
-group of near copies, at a cost linear in the group. Then only nodes of different components are left
+ever written out. A group beyond a tile's size is dealt into tiles at random, twice or more, and its
+links within tiles come first. They connect what is alike throughout, such as a vast group of near
+copies, at a cost linear in the group. Then only nodes of different components are left
 to be compared: those outside the group's largest component meet every tile, so no task ever holds
 more than two tiles, and no link is missed.
 """
@@ -84,23 +84,28 @@ def _in_groups(members: DataFrame, keys: list[str], find: Callable[[list], list[
     return groups.select("nodes", "payloads").mapInPandas(run, "a long, b long").distinct()
 
 
-def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list], list[tuple[int, int]]], scratch: Scratch, looks: int = 1) -> DataFrame:
+def tiles_for(weight: Column) -> Column:
+    """How many tiles a group of this weight has: a power of two, so groups of about one size have the same tiles."""
+    return F.when(weight > 1, F.pow(F.lit(2.0), F.ceil(F.log2(weight)))).otherwise(1).cast("int")
+
+
+def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list], list[tuple[int, int]]], scratch: Scratch, some_large: bool, looks: int = 2) -> DataFrame:
     """Links (a, b) that connect, within each group of `members`, all nodes that `find` connects.
 
-    members: (keys, node long, payload, weight double), a row for each node of a group; weight is its
-    share of a tile. find: a spanning forest of the links between payloads, by their places. looks: how
-    often a group of several tiles is dealt into them before what is left is compared throughout.
+    members: (keys, tiles int, node long, payload, weight double), a row for each node of a group;
+    weight is its share of a tile, and tiles the group's number of them. find: a spanning forest of the
+    links between payloads, by their places. some_large: whether any group has several tiles. looks:
+    how often such a group is dealt into them before what is left is compared throughout. A node's
+    tile is the same in all groups of one size, and so are most of its links.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), F.ceil(F.sum("weight")).cast("int").alias("tiles")).where("n > 1")
-    met = members.join(sizes.drop("n"), keys)
     look = F.explode(F.sequence(F.lit(0), F.when(F.col("tiles") > 1, looks - 1).otherwise(0)))
-    dealt = met.withColumn("look", look).withColumn("tile", F.pmod(F.xxhash64("node", "look", *keys), F.col("tiles")))
+    dealt = members.withColumn("look", look).withColumn("tile", F.pmod(F.xxhash64("node", "look"), F.col("tiles")))
     edges = _in_groups(dealt, [*keys, "look", "tile"], find)
-    if not sizes.where("tiles > 1").limit(1).count():
+    if not some_large:
         return edges
     edges = scratch.keep(edges)
     roots = components(edges, scratch)
-    large = met.where("tiles > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = members.where("tiles > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = large.groupBy(*keys, "root").agg(F.sum("weight").alias("w"))
     split = parts.groupBy(*keys).agg(F.max(F.struct("w", "root")).alias("main"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
     split = split.select(*keys, F.col("main.root").alias("main"), F.ceil("w").cast("int").alias("columns"), F.greatest(F.lit(1), F.ceil(F.col("w") - F.col("main.w"))).cast("int").alias("rows"))
@@ -127,8 +132,9 @@ def links(keys: DataFrame, most: int, scratch: Scratch, tile: int = TILE, apart:
     def find(prints: list) -> list[tuple[int, int]]:
         return spanning_links(np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1), most, apart)
 
-    members = keys.select("kind", "key", "node", F.col("print").alias("payload"), F.lit(1 / tile).alias("weight"))
-    return spanning_forest(members, ["kind", "key"], find, scratch)
+    sizes = scratch.keep(keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key", tiles_for(F.col("n") / tile).alias("tiles")))
+    members = keys.join(sizes, ["kind", "key"]).select("kind", "key", "tiles", "node", F.col("print").alias("payload"), F.lit(1 / tile).alias("weight"))
+    return spanning_forest(members, ["kind", "key"], find, scratch, bool(sizes.where("tiles > 1").limit(1).count()))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -32,14 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, unused
-from corpusloom.llm.components import components, differing_bytes, links, spanning_forest
+from corpusloom.llm.components import components, differing_bytes, links, spanning_forest, tiles_for
 
 #: Blocks of a fingerprint in `near_dedup`, and symbols in a block. All symbols together fill whole 64-bit words, a byte each.
 BLOCKS, BLOCK_SYMBOLS = 24, 3
 #: Documents and bytes of text in a tile of a cluster; two tiles at most are compared in a task.
 CLUSTER_ROWS, CLUSTER_BYTES = 512, 8 << 20
-#: How often a cluster beyond a tile is dealt into tiles, at random, before the rest is compared throughout.
-LOOKS = 3
 #: Shingles whose bits are counted at once.
 STEP = 16_384
 
@@ -199,7 +197,11 @@ def alike(members: DataFrame, width: int, similarity: float, scratch: Scratch, t
         return similar_links([np.unique(shingle_hashes(t.encode("utf-8", "replace").lower().split(), width)) for t in texts], similarity)
 
     weight = F.greatest(F.lit(1 / tile_rows), F.octet_length("text") / CLUSTER_BYTES)
-    return spanning_forest(members.select("cluster", "node", F.col("text").alias("payload"), weight.alias("weight")), ["cluster"], find, scratch, LOOKS)
+    rows = members.select("cluster", "node", F.col("text").alias("payload"), weight.alias("weight"))
+    sizes = rows.groupBy("cluster").agg(tiles_for(F.sum("weight")).alias("tiles")).where("tiles > 1")
+    large = scratch.keep(sizes)  # few: the others need no look-up and stay in one tile
+    dealt = rows.join(large, "cluster", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    return spanning_forest(dealt, ["cluster"], find, scratch, bool(large.limit(1).count()))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, slack: float = 6.0) -> DataFrame:
