@@ -36,6 +36,8 @@ def top_k_or(value: int | None, default: int) -> int:
 
 @dataclass(frozen=True)
 class Settings:
+    """The defaults and their ranges. `plans.service` reads them; the two model names are for the embedder and reranker that the caller plugs in."""
+
     max_upload_size_mb: int = 50
     chunk_size: int = 1000
     chunk_overlap: int = 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -79,6 +81,26 @@ def first_passage(prompts: list[list[dict]]) -> list[str]:
     return out
 
 
+class ChatGenerator:
+    """Asks a chat model behind an HTTP address: one request for each list of messages, without streaming.
+
+    The request is the common `/api/chat` one: model, messages, and options temperature and num_predict.
+    """
+
+    def __init__(self, base_url: str, model: str, temperature: float = 0.1, max_tokens: int = 512, timeout: float = 120.0) -> None:
+        self.url, self.timeout = base_url.rstrip("/") + "/api/chat", timeout
+        self.body = {"model": model, "stream": False, "options": {"temperature": temperature, "num_predict": max_tokens}}
+
+    def __call__(self, prompts: list[list[dict]]) -> list[str]:
+        out = []
+        for messages in prompts:
+            body = json.dumps(self.body | {"messages": messages}).encode()
+            request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                out.append(json.load(reply)["message"]["content"])
+        return out
+
+
 def generate(prompts: DataFrame, generator: Generator = first_passage) -> DataFrame:
     """(query_id, answer, error_code) of (query_id, messages): blank answers and failures become codes."""
 

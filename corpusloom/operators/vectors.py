@@ -63,13 +63,15 @@ class HashingEmbedder:
         return out / np.where(norm > 0, norm, 1)
 
 
-def embed(text: Column, embedder: Embedder) -> Column:
-    """array<double> of a text, in Arrow batches; an empty text has a zero vector."""
+def embed(text: Column, embedder: Embedder, batch_size: int | None = None) -> Column:
+    """array<double> of a text, in Arrow batches, `batch_size` texts to a call; an empty text has a zero vector."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(embedder.embed([t or "" for t in texts])), dtype=object)
+            all_texts = [t or "" for t in texts]
+            step = batch_size or max(1, len(all_texts))
+            yield pd.Series([v for at in range(0, len(all_texts), step) for v in embedder.embed(all_texts[at : at + step])], dtype=object)
 
     return run(text)
 
@@ -95,8 +97,12 @@ def packs(questions: DataFrame, dimension: int) -> Iterator[tuple[np.ndarray, np
         yield np.array(ids), np.array(vectors, float)
 
 
-def similar(questions: DataFrame, vectors: DataFrame, k: int | None = None, min_score: float | None = None) -> DataFrame:
-    """(query_id, rank, chunk_ord, score): the k rows of (chunk_ord, v) of greatest cosine for each of (query_id, v)."""
+def similar(questions: DataFrame, vectors: DataFrame, k: int | None = None, min_score: float | None = None, dimension: int | None = None) -> DataFrame:
+    """(query_id, rank, chunk_ord, score): the k rows of (chunk_ord, v) of greatest cosine for each of (query_id, v).
+
+    Questions and vectors of another length than `dimension` have no cosine and no hits; without one
+    given it is the most frequent length of the vectors (of equally frequent ones the smallest).
+    """
     k = top_k_or(k, 10)
     if min_score is not None:
         real("min_score", min_score, -1, 1)
@@ -105,11 +111,13 @@ def similar(questions: DataFrame, vectors: DataFrame, k: int | None = None, min_
     asked = questions.select("query_id", normalized(F.col("v")).alias("v")).where("v is not null")
     kind = dict(questions.dtypes)["query_id"]
     schema = f"query_id {kind}, chunk_ord bigint, score double"
-    first = asked.select(F.size("v").alias("d")).first()
-    if first is None:
+    if dimension is None:
+        sizes = vectors.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dimension = sizes["d"] if sizes else 0
+    same = unit.where(F.size("v") == dimension)
+    parts = [same.mapInPandas(_scan(ids, matrix, k, min_score), schema) for ids, matrix in packs(asked.where(F.size("v") == dimension), dimension)]
+    if not parts:
         return spark.createDataFrame([], f"query_id {kind}, rank int, chunk_ord bigint, score double")
-    same = unit.where(F.size("v") == first["d"])
-    parts = [same.mapInPandas(_scan(ids, matrix, k, min_score), schema) for ids, matrix in packs(asked.where(F.size("v") == first["d"]), first["d"])]
     return top_k(reduce(DataFrame.unionByName, parts), k).select("query_id", "rank", "chunk_ord", "score")
 
 
@@ -124,7 +132,12 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, min_score: float | None)
             shown = np.round(s, 9)
             out = []
             for q, row, exact in zip(ids, shown, s, strict=True):
-                best = np.argsort(-row, kind="stable")[:k] if len(row) > k else np.arange(len(row))
+                if len(row) > k:
+                    least = np.partition(row, len(row) - k)[len(row) - k]
+                    above, equal = np.flatnonzero(row > least), np.flatnonzero(row == least)  # in the order of chunk_ord
+                    best = np.concatenate([above, equal[: k - len(above)]])
+                else:
+                    best = np.arange(len(row))
                 if min_score is not None:
                     best = best[exact[best] >= min_score]
                 out.append(pd.DataFrame({"query_id": q, "chunk_ord": ords[best], "score": exact[best]}))
@@ -136,4 +149,4 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, min_score: float | None)
 def semantic_search(questions: DataFrame, vectors: DataFrame, embedder: Embedder, k: int | None = None, min_score: float | None = None) -> DataFrame:
     """`similar` for the valid rows of (query_id, query)."""
     valid = questions.where(query_error("query").isNull())
-    return similar(valid.select("query_id", embed(semantic_query("query"), embedder).alias("v")), vectors, k, min_score)
+    return similar(valid.select("query_id", embed(semantic_query("query"), embedder).alias("v")), vectors, k, min_score, embedder.dimension)

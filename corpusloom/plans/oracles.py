@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusloom.functions.text import STOP_WORDS
 from corpusloom.operators.answer import RULE
 from corpusloom.plans.queries import DIRT, GATE
+from corpusloom.plans.sample import PAGES, QUESTIONS
 
 _BLANKS = r"\x{9}\x{B}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SPACES = _BLANKS + r"\x{A}"
@@ -48,6 +49,24 @@ def _cut(source: str, size: int, overlap: int, keep: str) -> str:
   SELECT *, unnest(range(0, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= {size} THEN 1 ELSE 1 + ceil((len(t) - {size}) / {step}.0)::BIGINT END)) AS i FROM {source}))"""
 
 
+def _values(rows: list[tuple]) -> str:
+    quoted = [", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) for r in rows]
+    return "(VALUES " + ", ".join(f"({r})" for r in quoted) + ")"
+
+
+def _sample() -> str:
+    """The library's small set of documents and questions: its documents are shorter than a chunk."""
+    texts = {p[1]: (p[2], "\n\n".join(x[5] for x in PAGES if x[1] == p[1])) for p in PAGES}
+    names = [(q[0], n) for q in QUESTIONS for n in q[3]]
+    return f"""chunks AS (SELECT d * {_ORD} AS chunk_ord, d AS doc_id, name, content FROM {_values([(d, n, t) for d, (n, t) in texts.items()])} t(d, name, content)),
+{_INDEX[len(_CHUNKS) + 2 :]}, qs AS (SELECT * FROM {_values([q[:3] for q in QUESTIONS])} t(query_id, category, query)), wanted AS (SELECT * FROM {_values(names)} t(query_id, document_name)),
+qterms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens("query")}) AS term FROM qs) GROUP BY ALL),
+scored AS (SELECT query_id, chunk_ord, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qterms JOIN posts USING (term) JOIN dfs USING (term), corpus GROUP BY ALL),
+hits AS (SELECT h.query_id, rank, name AS document_name FROM {_top('scored', 5)} h JOIN chunks USING (chunk_ord)),
+m AS (SELECT query_id, category, (SELECT count(*) FROM wanted w WHERE w.query_id = qs.query_id) AS ne, (SELECT count(*) FROM hits h WHERE h.query_id = qs.query_id) AS nr,
+  (SELECT count(*) FROM hits h JOIN wanted w USING (query_id, document_name) WHERE h.query_id = qs.query_id) AS ng, (SELECT min(rank) FROM hits h JOIN wanted w USING (query_id, document_name) WHERE h.query_id = qs.query_id) AS fr FROM qs)"""
+
+
 def _coded(side: str) -> str:
     """Words as single ASCII characters by their place in d; a pair here has fewer than 90."""
     return f"array_to_string(list_transform({side}, lambda w: chr(32 + list_position(d, w))), '')"
@@ -266,6 +285,8 @@ SELECT document_id, count(*) AS n, count(*) FILTER (content = 'again') AS again
     "eval_mode_comparison": f"""{_HYBRID}, {_EXPECTED}, s AS ({" UNION ALL ".join(f"SELECT '{m}' AS mode, {_SUMMARY} FROM {_measures(h)}" for m, h in _MODES.items())}),
 l AS (UNPIVOT (SELECT mode, hit_rate, recall, precision, mrr, rejection_rate FROM s) ON hit_rate, recall, precision, mrr, rejection_rate INTO NAME measure VALUE value)
 SELECT l.mode, l.measure, l.value, round(l.value - b.value, 6) AS overhead FROM l LEFT JOIN l b ON l.mode = b.mode || '_rerank' AND b.measure = l.measure""",
+    "eval_sample": f"""WITH {_sample()} SELECT query_id::BIGINT AS query_id, category, ne > 0 AS relevant, nr AS n_returned, (ng > 0)::INT::DOUBLE AS hit, CASE WHEN ne > 0 THEN round(ng / ne, 6) ELSE 0 END AS recall,
+  CASE WHEN ne > 0 AND nr > 0 THEN round(ng / nr, 6) ELSE 0 END AS precision, coalesce(round(1 / fr, 6), 0) AS reciprocal_rank, nr = 0 AS rejected FROM m""",
     "latency_percentiles": """SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(list_sort(list(value))[least((count(*) * 95) // 100, count(*) - 1) + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""",
     "timing_stats": "SELECT event_type, round(avg(v), 2) AS mean, round(median(v), 2) AS median, round(min(v), 2) AS min, round(max(v), 2) AS max FROM (SELECT event_type, round(value, 1) AS v FROM events) GROUP BY event_type",
     "ocr_macro_error": f"""WITH t AS (SELECT {_fold('r')} AS r, {_fold(_SPOILED.format('r'))} AS h FROM (SELECT {_ASCII} AS r FROM benchmark)),

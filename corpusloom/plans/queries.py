@@ -19,7 +19,7 @@ from corpusloom.operators import rerank as R
 from corpusloom.operators import store as S
 from corpusloom.operators import vectors as V
 from corpusloom.config import Settings
-from corpusloom.plans import service
+from corpusloom.plans import sample, service
 from corpusloom.sources import files as FS
 from corpusloom.sources import ocr as O
 
@@ -431,6 +431,15 @@ def eval_mode_comparison(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.mode_comparison(modes, ["hit_rate", "recall", "precision", "mrr", "rejection_rate"]))
 
 
+def eval_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve questions in five categories over three small documents, by keywords."""
+    questions = sample.sample_questions(spark)
+    chunks = C.chunk_documents(sample.sample_pages(spark))
+    hits = B.search(B.build_index(chunks), questions, 5).join(chunks.select("chunk_ord", "document_name"), "chunk_ord")
+    expected = questions.select("query_id", F.explode("expected").alias("document_name"))
+    return _rounded(E.per_query(hits, expected, questions.select("query_id", "category")))
+
+
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.percentiles(_read(spark, d, "events"), "value", ["event_type"]))
 
@@ -578,7 +587,7 @@ _ALL = (
     page_boundaries, split_text, page_for_offset, chunk_document, chunk_metadata, bm25_postings, bm25_df, bm25_corpus_stats, bm25_score, bm25_topk,
     bm25_min_score, bm25_remove_document, embed_hashing, vector_topk, semantic_min_score, rrf_fusion, hybrid_topk, hybrid_weighted, hybrid_one_sided, rerank_candidates,
     rerank_topk, relevance_gate, context_pack, format_sources, answer_report, answer_semantic, answer_keyword, answer_hybrid, scan_chunks, upsert_last_wins, reindex_replace, delete_document, store_count,
-    indexing_report, index_from_store, eval_per_query, eval_summary, eval_by_category, eval_mode_comparison, latency_percentiles, timing_stats, ocr_macro_error, ocr_evaluation, token_presence,
+    indexing_report, index_from_store, eval_per_query, eval_summary, eval_by_category, eval_mode_comparison, eval_sample, latency_percentiles, timing_stats, ocr_macro_error, ocr_evaluation, token_presence,
     ingest_validate, detect_format, docx_table_text, image_coverage, needs_ocr, raster_guard, ocr_tsv_layout, ocr_gap_heuristic, pdf_outcome_rules, pdf_scanned_pages,
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, top_k_or
@@ -13,12 +13,46 @@ from corpusloom.functions.text import query_error
 from corpusloom.operators import answer, bm25, evaluate, hybrid, rerank, vectors
 from corpusloom.operators.chunking import chunk_documents
 from corpusloom.operators.store import ChunkStore
+from corpusloom.sources import files, ocr
 
 #: Hits of a question before reranking, if no depth is set.
 DEPTH = 20
 MODES = ("semantic", "semantic_rerank", "keyword", "hybrid", "hybrid_rerank")
 
 
+def open_store(spark: SparkSession, settings: Settings | None = None) -> ChunkStore:
+    """The store of the settings' folder and collection."""
+    settings = settings or Settings()
+    return ChunkStore(spark, f"{settings.vector_store_path.rstrip('/')}/{settings.collection}")
+
+
+def load_files(spark: SparkSession, path: str, settings: Settings | None = None, reader: files.PdfReader | None = None, engine: ocr.OcrEngine | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, failures) of all files below a path: pages as the chunker takes them, and (document_id, error_code).
+
+    PDF files need a reader; their pages without text, and pictures, also an engine, which is left out
+    if the settings switch recognition off. Documents are ordered by a hash of their path.
+    """
+    settings = settings or Settings()
+    most = settings.max_upload_size_mb << 20
+    engine = engine if settings.ocr_enabled else None
+    found = files.read_files(spark, path)
+    is_pdf = files.suffix(F.col("path")) == ".pdf"
+    texts = (lambda content: [p.text for p in reader.pages(content)]) if reader else None
+    scanned = reader is not None and engine is not None
+    plain = files.load_pages(found.where(~is_pdf) if scanned else found, texts, engine, most, settings.ocr_max_image_pixels, settings.ocr_language, settings.ocr_timeout)
+    rows = plain.select(F.col("document_id"), "document_name", "source_type", "page_number", "content", "metadata", F.lit(None).cast("map<string,string>").alias("page_metadata"), "error_code")
+    if scanned:
+        rows = rows.unionByName(files.load_scanned(found.where(is_pdf), reader, engine, most, settings.ocr_min_native_chars, settings.ocr_dpi, settings.ocr_max_pages, settings.ocr_max_image_pixels, settings.ocr_language, settings.ocr_timeout))
+    # 39 bits: with 24 for a document's chunks they fill a positive long
+    rows = rows.withColumn("doc_ord", F.shiftrightunsigned(F.xxhash64("document_id"), 25))
+    return rows.where("error_code is null").drop("error_code"), rows.where("error_code is not null").select("document_id", "error_code")
+
+
+def chat_generator(settings: Settings | None = None) -> answer.ChatGenerator:
+    s = settings or Settings()
+    return answer.ChatGenerator(s.llm_base_url, s.llm_model, s.llm_temperature, s.llm_max_tokens, s.llm_timeout)
+
+
 def index_documents(pages: DataFrame, store: ChunkStore, settings: Settings | None = None, embedder: vectors.Embedder | None = None, one_page: bool = False) -> DataFrame:
     """Chunk, embed and store pages, replacing the documents that they belong to; a report row for each document.
 
@@ -27,7 +61,7 @@ def index_documents(pages: DataFrame, store: ChunkStore, settings: Settings | No
     settings = settings or Settings()
     chunks = chunk_documents(pages, settings.chunk_size, settings.chunk_overlap, one_page)
     if embedder is not None:
-        chunks = chunks.withColumn("v", vectors.embed(F.col("content"), embedder))
+        chunks = chunks.withColumn("v", vectors.embed(F.col("content"), embedder, settings.embedding_batch_size))
     store.index(chunks)
     counts = store.read().groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     docs = pages.groupBy("document_id", "document_name").agg(F.count("*").alias("n_pages"))
@@ -40,7 +74,7 @@ def _sides(questions: DataFrame, chunks: DataFrame, settings: Settings, embedder
     embedder = embedder or vectors.HashingEmbedder()
 
     def dense(n: int) -> DataFrame:
-        v = F.col("v") if "v" in chunks.columns else vectors.embed(F.col("content"), embedder)
+        v = F.col("v") if "v" in chunks.columns else vectors.embed(F.col("content"), embedder, settings.embedding_batch_size)
         return vectors.semantic_search(questions, chunks.select("chunk_ord", v.alias("v")), embedder, n, settings.retrieval_min_score)
 
     def words(n: int) -> DataFrame:
