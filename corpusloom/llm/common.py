@@ -44,6 +44,19 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: The scratch folders made since the innermost `dropping` began.
 _made: list[list[Scratch]] = []
 
@@ -66,7 +79,9 @@ class Scratch:
         """Write `df`, and return it as read again, with its path."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        # what was shuffled for the table is not needed once it is written
+        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.option("compression", "zstd").parquet(path)
         if self.count == 1:
             at, files = self._at(self.root)
             files.deleteOnExit(at)

@@ -2,9 +2,9 @@
 
 Links are searched within groups of nodes that share a key. Of each group only a spanning forest of
 its links is emitted, at most one link a node: components are kept whole and no group's pairs are
-ever written out. A group beyond a tile's size is dealt into tiles at random, twice or more, and its
-links within tiles come first. They connect what is alike throughout, such as a vast group of near
-copies, at a cost linear in the group. Then only nodes of different components are left
+ever written out. A group beyond a tile's size is dealt into tiles at random. Its links within tiles
+come first, then those between one node of each component that they leave: this connects what is
+alike throughout, such as a vast group of near copies, at a cost linear in the group. Then only nodes of different components are left
 to be compared: those outside the group's largest component meet every tile, so no task ever holds
 more than two tiles, and no link is missed.
 """
@@ -89,23 +89,29 @@ def tiles_for(weight: Column) -> Column:
     return F.when(weight > 1, F.pow(F.lit(2.0), F.ceil(F.log2(weight)))).otherwise(1).cast("int")
 
 
-def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list], list[tuple[int, int]]], scratch: Scratch, some_large: bool, looks: int = 2) -> DataFrame:
+def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list], list[tuple[int, int]]], scratch: Scratch, some_large: bool) -> DataFrame:
     """Links (a, b) that connect, within each group of `members`, all nodes that `find` connects.
 
     members: (keys, tiles int, node long, payload, weight double), a row for each node of a group;
     weight is its share of a tile, and tiles the group's number of them. find: a spanning forest of the
-    links between payloads, by their places. some_large: whether any group has several tiles. looks:
-    how often such a group is dealt into them before what is left is compared throughout. A node's
+    links between payloads, by their places. some_large: whether any group has several tiles. A node's
     tile is the same in all groups of one size, and so are most of its links.
     """
-    look = F.explode(F.sequence(F.lit(0), F.when(F.col("tiles") > 1, looks - 1).otherwise(0)))
-    dealt = members.withColumn("look", look).withColumn("tile", F.pmod(F.xxhash64("node", "look"), F.col("tiles")))
-    edges = _in_groups(dealt, [*keys, "look", "tile"], find)
+    edges = _in_groups(members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))), [*keys, "tile"], find)
     if not some_large:
         return edges
     edges = scratch.keep(edges)
-    roots = components(edges, scratch)
-    large = members.where("tiles > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def labelled() -> DataFrame:
+        return members.where("tiles > 1").join(components(edges, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # a node of each component meets those of the others
+    one = labelled().groupBy(*keys, "root").agg(F.min("node").alias("node"), F.min_by("payload", "node").alias("payload"), F.min_by("weight", "node").alias("weight"))
+    one = scratch.keep(one)
+    sizes = one.groupBy(*keys).agg(tiles_for(F.sum("weight")).alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = one.join(sizes, keys).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    edges = scratch.keep(edges.union(_in_groups(met, [*keys, "tile"], find)))
+    large = labelled()
     parts = large.groupBy(*keys, "root").agg(F.sum("weight").alias("w"))
     split = parts.groupBy(*keys).agg(F.max(F.struct("w", "root")).alias("main"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
     split = split.select(*keys, F.col("main.root").alias("main"), F.ceil("w").cast("int").alias("columns"), F.greatest(F.lit(1), F.ceil(F.col("w") - F.col("main.w"))).cast("int").alias("rows"))

@@ -310,14 +310,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 50, who: str
     owned = surveyed.join(whole, ["t1", "t2"])
     copies = owned.where("owner is not null and (anon or id > owner)").select("deal", F.struct(*span, F.lit(0).alias("a"), F.col("n_words").cast("int").alias("b")).alias("span"))
     single = owned.where((F.col("owner").isNull() & F.col("anon")) | (own == F.col("owner"))).dropDuplicates(_WHO)
-    places = single.select("deal", "id", "anon", F.explode("anchors").alias("anchor"))
-    # an anchor of one id alone, or of rows without an id alone, has nothing to take from another
-    shared = places.groupBy("anchor").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("anon").alias("some"), F.count("*").alias("n")).where("lo < hi or (lo is not null and some)")
+    places = single.select("deal", F.explode("anchors").alias("anchor"))
+    # an anchor of one text alone has nothing to take from another
+    shared = places.groupBy("anchor").agg(F.min("deal").alias("lo"), F.max("deal").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     met = places.join(shared.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
-    flagged = scratch.keep(met.groupBy("deal", "id", "anon").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
+    flagged = scratch.keep(met.groupBy("deal").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
     dealt = docs.repartition(F.col(f"{who}.deal"))
-    met = dealt.select(F.col(f"{who}.deal").alias("at"), F.col(f"{who}.id").alias("at_id"), F.col(f"{who}.anon").alias("at_anon"), F.col("text").cast("string").alias("text"))
-    met = met.join(flagged, (F.col("at") == F.col("deal")) & (F.col("at_id") == F.col("id")) & (F.col("at_anon") == F.col("anon")))
+    met = dealt.select(f"{who}.deal", f"{who}.id", f"{who}.anon", F.col("text").cast("string").alias("text")).join(flagged, "deal")
     parts = scratch.keep(segments(met.select("deal", "id", "anon", "text", "shared", "hot"), window))  # two readers, and made by Python
     groups = parts.where("not alone").groupBy("route", "words").agg(F.min(own).alias("first"), F.count("*").alias("n"))
     groups = groups.select("route", "words", F.coalesce("first", F.lit(0)).alias("first"), F.col("first").isNotNull().alias("owned"), "n")
