@@ -180,9 +180,10 @@ def split_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_for_offset(spark: SparkSession, d: str) -> DataFrame:
-    docs = C.page_boundaries(_books(spark, d))
-    rows = docs.select("document_id", "bounds", F.explode(F.sequence(F.lit(0), F.length("text") + 500, F.lit(997))).alias("offset"))
-    return rows.select("document_id", "offset", C.page_at(F.col("bounds"), F.col("offset"))["page_number"].alias("page_number"))
+    # lengths are all it takes, so no text meets its document's others
+    rows = _read(spark, d, "documents").where("source is not null").select(F.col("source").alias("document_id"), "doc_id", F.length(T.clean_text("text")).alias("length"))
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("doc_id"))
+    return C.pages_at(rows.select("document_id", number.alias("page_number"), "length"), 997, 500)
 
 
 def chunk_document(spark: SparkSession, d: str) -> DataFrame:
