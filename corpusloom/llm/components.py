@@ -95,22 +95,23 @@ def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list],
     members: (keys, tiles int, node long, payload, weight double), a row for each node of a group;
     weight is its share of a tile, and tiles the group's number of them. find: a spanning forest of the
     links between payloads, by their places. some_large: whether any group has several tiles. A node's
-    tile is the same in all groups of one size, and so are most of its links.
+    tile is the same in all groups of one size, and so are most of its links. Once components are
+    known, one link from each of their nodes to the smallest stands for all links that made them.
     """
     edges = _in_groups(members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))), [*keys, "tile"], find)
     if not some_large:
         return edges
-    edges = scratch.keep(edges)
+    known = components(edges, scratch)
 
     def labelled() -> DataFrame:
-        return members.where("tiles > 1").join(components(edges, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return members.where("tiles > 1").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # a node of each component meets those of the others
     one = labelled().groupBy(*keys, "root").agg(F.min("node").alias("node"), F.min_by("payload", "node").alias("payload"), F.min_by("weight", "node").alias("weight"))
     one = scratch.keep(one)
     sizes = one.groupBy(*keys).agg(tiles_for(F.sum("weight")).alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = one.join(sizes, keys).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    edges = scratch.keep(edges.union(_in_groups(met, [*keys, "tile"], find)))
+    known = components(stars(known).union(_in_groups(met, [*keys, "tile"], find)), scratch)
     large = labelled()
     parts = large.groupBy(*keys, "root").agg(F.sum("weight").alias("w"))
     split = parts.groupBy(*keys).agg(F.max(F.struct("w", "root")).alias("main"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
@@ -125,7 +126,7 @@ def spanning_forest(members: DataFrame, keys: list[str], find: Callable[[list],
 
     whole = left.withColumn("column", tile_of("columns")).withColumn("row", every("rows"))
     rest = left.where("root <> main").withColumn("column", every("columns")).withColumn("row", tile_of("rows"))
-    return edges.union(_in_groups(whole.unionByName(rest), [*keys, "column", "row"], find))
+    return stars(known).union(_in_groups(whole.unionByName(rest), [*keys, "column", "row"], find))
 
 
 def links(keys: DataFrame, most: int, scratch: Scratch, tile: int = TILE, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = differing_bits) -> DataFrame:
@@ -143,26 +144,51 @@ def links(keys: DataFrame, most: int, scratch: Scratch, tile: int = TILE, apart:
     return spanning_forest(members, ["kind", "key"], find, scratch, bool(sizes.where("tiles > 1").limit(1).count()))
 
 
+def stars(labels: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components as the labels (node, root): one for each node but the roots."""
+    return labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of `edges` (a, b), root the smallest node that it reaches.
 
-    Each round takes the smallest label around a node and then that label's own label, so labels
-    travel doubling distances: the rounds are about as many as the longest path has binary digits.
-    They go on until no label moves, which must happen, as labels only fall. A round's labels are a
-    written table: a lost executor costs no more than the round.
+    At each level a node takes its smallest neighbour as its parent, parents' parents replace parents
+    until they settle, and links between the nodes go over to links between their last parents, once
+    each. Links within a tree are gone with that, so a level has few of those before: whatever number of
+    links a group has by its keys, they are joined once, and later only what connects trees. A node that
+    isn't alone with its tree meets a smaller one within two levels, so the levels are at most about
+    twice the binary digits of the number of nodes, and the rounds in one those of its deepest tree.
+    Labels only fall, so the smallest node is the last parent. What a level leaves is a written table: a
+    lost executor costs no more than a step.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.keep(both.where("a <> b").distinct())
-    labels, path = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
-    while True:
-        around = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "root")
-        step = around.union(labels).groupBy("node").agg(F.min("root").alias("new"))
-        old = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
-        jumped = step.join(old, step.new == old["at"], "left").select("node", F.least("new", F.coalesce("beyond", "new")).alias("root"))
-        changed = jumped.join(labels.withColumnRenamed("root", "before"), "node").select("node", "root", (F.col("root") < F.col("before")).alias("moved"))
-        after, after_path = scratch.put(changed)
-        moved = after.where("moved").limit(1).count()
+
+    def once(pairs: DataFrame) -> tuple[DataFrame, str]:
+        return scratch.put(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    left, left_path = once(edges)
+    levels = []
+    while not levels or left.limit(1).count():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels, path = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+        moved = 1
+        while moved:
+            second, third = (labels.select(F.col("node").alias(f"at{i}"), F.col("root").alias(f"root{i}")) for i in (2, 3))
+            jumped = labels.join(second, F.col("root") == F.col("at2")).join(third, F.col("root2") == F.col("at3"))
+            after, after_path = scratch.put(jumped.select("node", F.col("root3").alias("root"), (F.col("root3") < F.col("root2")).alias("moved")))
+            moved = after.where("moved").limit(1).count()
+            scratch.drop(path)
+            labels, path = after.select("node", "root"), after_path
+        levels.append((labels, path))
+        x, y = (labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        rest, rest_path = once(left.join(x, "a").join(y, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        scratch.drop(left_path)
+        left, left_path = rest, rest_path
+    scratch.drop(left_path)
+    labels, path = levels.pop()
+    for below, below_path in reversed(levels):
+        last = labels.select(F.col("node").alias("at"), F.col("root").alias("last"))
+        whole, whole_path = scratch.put(below.join(last, F.col("root") == F.col("at"), "left").select("node", F.coalesce("last", "root").alias("root")))
         scratch.drop(path)
-        labels, path = after.select("node", "root"), after_path
-        if not moved:
-            return labels
+        scratch.drop(below_path)
+        labels, path = whole, whole_path
+    return labels

@@ -88,6 +88,25 @@ def test_long_chains_settle(spark):
     assert K.components(edges.limit(0), Scratch(spark, "test")).count() == 0
 
 
+def test_many_keys_of_a_large_group_leave_one_link_a_node(spark):
+    """Groups of near copies whose smallest nodes differ from key to key, in tiles."""
+    rows = [(kind, 1, n, (1 << n % 2).to_bytes(8, "big")) for kind in range(8) for n in range(40) if n % 8 != kind]
+    found = K.links(spark.createDataFrame(rows, "kind int, key bigint, node bigint, print binary"), 2, Scratch(spark, "test"), 8)
+    assert found.count() == 39
+    assert {r.root for r in K.components(found, Scratch(spark, "test")).collect()} == {0}
+
+
+def test_components_of_any_graph_by_brute_force(spark):
+    rng = random.Random(9)
+    order = rng.sample(range(100, 160), 60)
+    pairs = [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + list(zip(order, order[1:], strict=False)) + [(199, i) for i in range(170, 190)] + [(169, 169)]
+    pairs += [(b, a) for a, b in pairs[:20]] + pairs[:5]
+    linked = {frozenset(p) for p in pairs}
+    want = roots(200, lambda a, b: frozenset((a, b)) in linked)
+    got = {r.node: r.root for r in K.components(spark.createDataFrame(pairs, "a bigint, b bigint"), Scratch(spark, "test")).collect()}
+    assert got == {i: want[i] for a, b in pairs if a != b for i in (a, b)}
+
+
 def test_near_dedup(spark):
     rng = random.Random(6)
     base = words(rng, 300, 5000)
